@@ -137,7 +137,7 @@ def _(spark, sf):
 
 
 @query("chromium_ts", needs=("visits",), sql="""
-SELECT id, TIMESTAMP '1601-01-01 00:00:00' + visit_time * INTERVAL '1' MICROSECOND AS visited_at FROM visits""")
+SELECT id, make_timestamp(visit_time - 11644473600000000) AS visited_at FROM visits""")
 def _(spark, sf):
     return bind(spark, sf, "visits").select("id", timeparts.chromium_ts(F.col("visit_time")).alias("visited_at"))
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 # ASCII marks before the replacing, and the marks are taken out after it.
 _MARK = "QZXQ"
 _BEYOND = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]"
-_SPACES = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACES = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _PATTERNS = [
     r"(password|passwd|pwd)\s*[=:]\s*\S+",
     r"(username|user|login|email)\s*[=:]\s*\S+",

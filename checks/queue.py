@@ -59,7 +59,7 @@ def _(spark, sf):
 
 
 @query("recover_stale", needs=LOG, sql=f"""
-SELECT * REPLACE (CASE WHEN stale THEN 'pending' ELSE status END AS status, CASE WHEN stale THEN {_AT} ELSE updated_at END AS updated_at) EXCLUDE (stale)
+SELECT * EXCLUDE (stale) REPLACE (CASE WHEN stale THEN 'pending' ELSE status END AS status, CASE WHEN stale THEN {_AT} ELSE updated_at END AS updated_at)
 FROM (SELECT *, status = 'processing' AND updated_at < {_AT} - INTERVAL 5 MINUTE AS stale FROM delivery_log)""")
 def _(spark, sf):
     return delivery.recover_stale(bind(spark, sf, "delivery_log"), NOW)
@@ -76,8 +76,8 @@ def _(spark, sf):
 
 
 @query("apply_outcomes", needs=LOG, sql=f"""
-SELECT * REPLACE (coalesce(o, status) AS status, CASE WHEN o IS NOT NULL THEN {_AT} ELSE updated_at END AS updated_at,
-  CASE WHEN o = 'failed' THEN 'rejected' ELSE error_message END AS error_message) EXCLUDE (o)
+SELECT * EXCLUDE (o) REPLACE (coalesce(o, status) AS status, CASE WHEN o IS NOT NULL THEN {_AT} ELSE updated_at END AS updated_at,
+  CASE WHEN o = 'failed' THEN 'rejected' ELSE error_message END AS error_message)
 FROM (SELECT *, CASE WHEN status = 'processing' THEN CASE WHEN retry_count = 0 THEN 'failed' ELSE 'completed' END END AS o FROM delivery_log)""")
 def _(spark, sf):
     log = bind(spark, sf, "delivery_log")

@@ -379,7 +379,7 @@ def _(spark, sf):
 @query("scheduled_exports", needs=UE, sql="""
 SELECT 'shift' AS kind, strftime(d, '%Y-%m-%d') || '-shift' || s AS export_key
 FROM generate_series(TIMESTAMP '2024-01-18 00:00:00', TIMESTAMP '2024-01-20 00:00:00', INTERVAL 1 DAY) AS g(d), range(1, 4) AS r(s)
-WHERE (d, s) > (TIMESTAMP '2024-01-18 00:00:00', 1) AND (d, s) <= (TIMESTAMP '2024-01-20 00:00:00', 1)
+WHERE d + INTERVAL 8 HOUR * s > TIMESTAMP '2024-01-18 08:00:00' AND d + INTERVAL 8 HOUR * s <= TIMESTAMP '2024-01-20 08:00:00'
   AND d + INTERVAL 8 HOUR * s > (SELECT min(timestamp) FROM usage_events)
 UNION ALL SELECT 'day', strftime(d, '%Y-%m-%d')
 FROM generate_series(TIMESTAMP '2024-01-18 00:00:00', TIMESTAMP '2024-01-19 00:00:00', INTERVAL 1 DAY) AS g(d)

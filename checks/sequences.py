@@ -17,7 +17,7 @@ _LAGGED = f"""lagged AS (SELECT *, lag(id) OVER w AS prev_id, lag(app_name) OVER
 
 
 @query("changed_only", needs=UE, ctes=_LAGGED,
-       sql=f"SELECT id FROM lagged WHERE NOT (prev_id IS NOT NULL AND {_SAME} AND epoch_us(timestamp) - epoch_us(prev_ts) <= 43200 * 1000000)")
+       sql=f"SELECT id FROM lagged WHERE NOT (prev_id IS NOT NULL AND {_SAME} AND epoch_us(timestamp) - epoch_us(prev_ts) <= 43200000000)")
 def _(spark, sf):
     return sequence.changed_only(bind(spark, sf, "usage_events"), max_gap_seconds=43200).select("id")
 
@@ -32,7 +32,7 @@ def _(spark, sf):
 
 @query("sessionize", needs=UE, ctes=_LAGGED + f""",
 marked AS (SELECT *, CASE WHEN prev_id IS NOT NULL AND app_name IS NOT DISTINCT FROM prev_app
-    AND epoch_us(timestamp) - epoch_us(prev_ts) <= 43200 * 1000000 THEN 0 ELSE 1 END AS brk FROM lagged),
+    AND epoch_us(timestamp) - epoch_us(prev_ts) <= 43200000000 THEN 0 ELSE 1 END AS brk FROM lagged),
 numbered AS (SELECT *, sum(brk) OVER ({_BY_USER}) AS run FROM marked)""", sql="""
 SELECT user_id, any_value(app_name) AS app_name, min(timestamp) AS started_at, max(timestamp) AS ended_at,
   count(*) AS n_events, CAST(sum(duration_seconds) AS BIGINT) AS duration_seconds FROM numbered GROUP BY user_id, run""")
@@ -76,8 +76,8 @@ def _(spark, sf):
 
 
 @query("track_changes", needs=("media_polls",), sql=f"""
-SELECT id, title, artist FROM media_polls QUALIFY lag(id) OVER w IS NULL OR title <> lag(title) OVER w OR artist <> lag(artist) OVER w
-WINDOW w AS ({_BY_PLAYER})""")
+SELECT id, title, artist FROM media_polls WINDOW w AS ({_BY_PLAYER})
+QUALIFY lag(id) OVER w IS NULL OR title <> lag(title) OVER w OR artist <> lag(artist) OVER w""")
 def _(spark, sf):
     return sequence.track_changes(bind(spark, sf, "media_polls")).select("id", "title", "artist")
 
@@ -130,7 +130,7 @@ matched AS (SELECT w.*, v.url AS v_url, v.timestamp AS v_ts FROM browser_windows
   ON w.user_id = v.user_id AND replace(lower(w.window_title), ' - google chrome', '') = v.title AND w.timestamp >= v.timestamp)""",
        sql="""
 SELECT id, user_id, browser, window_title, timestamp,
-  CASE WHEN epoch_us(timestamp) - epoch_us(v_ts) <= 864000 * 1000000 THEN v_url END AS url FROM matched""")
+  CASE WHEN epoch_us(timestamp) - epoch_us(v_ts) <= 864000000000 THEN v_url END AS url FROM matched""")
 def _(spark, sf):
     return joins.infer_active_url(bind(spark, sf, "browser_windows"), bind(spark, sf, "page_visits"), 864000)
 

@@ -164,8 +164,8 @@ def weekly_report(facts: dict[str, DataFrame], start: dt.date | str, rules: Data
                          value.cast("double").alias("value"))
 
     seconds = F.col("total_seconds")
-    per_day = in_week(facts["app_usage"], start, end, "started_at").rollup(
-        F.col("started_at").cast("date").alias("day")).agg(
+    per_day = in_week(facts["app_usage"], start, end, "started_at").withColumn(
+        "day", F.col("started_at").cast("date")).rollup("day").agg(
         F.sum("duration_seconds").alias("total_seconds"), F.grouping("day").alias("_all"))
     names = reduce(lambda a, b: a.unionByName(b), [
         apps.select(F.lit("app").alias("kind"), F.col("app_name").alias("name"), "total_seconds"),
