@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from daytrail.functions.let import let
+
 # Fixed values.
 CHROMIUM_EPOCH_OFFSET_US = 11_644_473_600_000_000  # 1601-01-01 to 1970-01-01
 TICKS_PER_SECOND = 10_000_000
@@ -18,6 +20,8 @@ _EPOCH_DATE = dt.date(1970, 1, 1)
 _DATE = r"(\d{4})-?(\d{2})-?(\d{2})"
 _CLOCK = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
 _ZONE = r"(Z|[+-]\d{2}(?::?\d{2})?)?"
+# The forms that a cast reads, as nearly all texts have them; the others are taken apart first.
+_COMMON = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?Z?)?$"
 _ISO = rf"^(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}})(?:[T ]{_CLOCK}{_ZONE})?$"
 _ISO_PARTS = rf"^{_DATE}(?:[T ]{_CLOCK}{_ZONE})?$"
 
@@ -53,6 +57,11 @@ def parse_event_ts(text: Column) -> Column:
     Dates and clocks may be in the extended or the compact form; an offset is applied, a text
     without one is taken as UTC. Week dates are not accepted.
     """
+    return F.when(text.rlike(_COMMON), F.rtrim(text, F.lit("Z")).try_cast("timestamp_ntz")).when(
+        text.rlike(_ISO), let(text, _parse_parts))
+
+
+def _parse_parts(text: Column) -> Column:
     def part(i: int) -> Column:
         return F.regexp_extract(text, _ISO_PARTS, i)
 
@@ -60,16 +69,13 @@ def parse_event_ts(text: Column) -> Column:
         return F.when(c == "", F.lit("00")).otherwise(c)
 
     clock = F.concat_ws(":", or_zero(part(4)), or_zero(part(5)), or_zero(part(6)))
-    fraction = F.rpad(part(7), 6, "0")
-    local = F.concat(F.concat_ws("-", part(1), part(2), part(3)), F.lit(" "), clock, F.lit("."), fraction)
+    local = F.concat(F.concat_ws("-", part(1), part(2), part(3)), F.lit(" "), clock, F.lit("."),
+                     F.rpad(part(7), 6, "0"))
     zone = part(8)
     digits = F.rpad(F.regexp_replace(zone, "[Z:]", ""), 5, "0")
     minutes = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
     offset = F.when(zone.rlike(r"^\+"), minutes).when(zone.startswith("-"), -minutes).otherwise(0)
-    return F.when(
-        text.rlike(_ISO),
-        local.try_cast("timestamp_ntz") - F.make_dt_interval(mins=offset),
-    )
+    return local.try_cast("timestamp_ntz") - F.make_dt_interval(mins=offset)
 
 
 def chromium_ts(us: Column, when_zero: Column | None = None) -> Column:

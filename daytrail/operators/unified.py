@@ -50,8 +50,8 @@ def normalize_event(df: DataFrame) -> DataFrame:
         return F.nullif(F.col(name), F.lit("")) if name in df.columns else F.lit(None).cast("string")
 
     category = event_category(F.col("event_type"))
-    moment = F.coalesce(*[parse_event_ts(field(f)) for f in
-                          ("ended_at", "visited_at", "changed_at", "started_at", "logged_at")])
+    moment = parse_event_ts(F.coalesce(*[field(f) for f in
+                                         ("ended_at", "visited_at", "changed_at", "started_at", "logged_at")]))
     site = F.coalesce(field("domain"), extract_domain(field("url")))
     rows = df.withColumns({
         "_category": category,

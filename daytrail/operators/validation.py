@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daytrail.functions.let import let
 from daytrail.functions.privacy import redact_text, redact_url
 from daytrail.functions.timeparts import parse_event_ts
 
@@ -33,8 +34,8 @@ def normalize_web(df: DataFrame) -> DataFrame:
 
 def whole_number(text: Column) -> Column:
     """A whole number written as `300` or `300.0`; NULL for anything else."""
-    number = F.regexp_extract(F.trim(text), r"^([+-]?[0-9]+)(?:\.0*)?$", 1)
-    return number.try_cast("long")
+    return F.coalesce(text.try_cast("long"), F.when(text.contains("."), let(
+        text, lambda t: F.regexp_extract(F.trim(t), r"^([+-]?[0-9]+)\.0*$", 1).try_cast("long"))))
 
 
 def reject_reasons(event_type: Column) -> Column:
@@ -56,8 +57,8 @@ def reject_reasons(event_type: Column) -> Column:
          & ~F.coalesce(duration.between(0, MAX_DURATION_SECONDS), F.lit(False))),
         ("timestamp_invalid", parse_event_ts(c("timestamp")).isNull()),
     ]
-    return F.filter(
-        F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]), lambda r: r.isNotNull())
+    # An array function with a lambda would take the rules out of generated code.
+    return F.array_remove(F.array(*[F.when(broken, name).otherwise("") for name, broken in rules]), "")
 
 
 def validate_events(df: DataFrame, default_type: str | None = None) -> DataFrame:
