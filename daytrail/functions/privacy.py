@@ -120,13 +120,16 @@ def drop_sensitive_params(url: Column) -> Column:
     ).otherwise(url)
 
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A run of address characters is tried from its start only, and as a whole.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _SSN = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
 
 
 def redact_pii(text: Column) -> Column:
     """Replace e-mail addresses and social security numbers."""
-    return F.regexp_replace(F.regexp_replace(text, _EMAIL, REDACTED), _SSN, REDACTED)
+    emails = F.when(text.contains("@"), F.regexp_replace(text, _EMAIL, REDACTED)).otherwise(text)
+    return let(emails, lambda t: F.when(
+        t.contains("-"), F.regexp_replace(t, _SSN, REDACTED)).otherwise(t))
 
 
 _SECRET_PAIR = r"(?i)(password|passwd|pwd|token|api[_-]?key|secret)([ \t]*[:=][ \t]*)[^ \t\r\n]+"
@@ -135,8 +138,13 @@ _BEARER = r"(?i)(bearer)[ \t]+[^ \t\r\n]+"
 
 def mask_credentials(text: Column) -> Column:
     """Mask the value after a credential's name and keep the name."""
-    masked = F.regexp_replace(text, _SECRET_PAIR, f"$1$2{REDACTED}")
-    return F.regexp_replace(masked, _BEARER, f"$1 {REDACTED}")
+    def masked(lower: Column) -> Column:
+        named = reduce(lambda a, b: a | b, [lower.contains(n) for n in ("passw", "pwd", "token", "key", "secret")])
+        pairs = F.when(named, F.regexp_replace(text, _SECRET_PAIR, f"$1$2{REDACTED}")).otherwise(text)
+        return let(pairs, lambda t: F.when(
+            lower.contains("bearer"), F.regexp_replace(t, _BEARER, f"$1 {REDACTED}")).otherwise(t))
+
+    return let(F.lower(text), masked)
 
 
 def csv_safe(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from daytrail.functions.timeparts import chromium_ts, epoch_us, firefox_ts, timestamp_lit
 from daytrail.functions.web import extract_domain, normalize_title, strip_browser_suffix
 from daytrail.operators.filters import drop_blank_titles, web_urls_only
-from daytrail.operators.ordered import HOT_ROWS, carry_last
+from daytrail.operators.ordered import HOT_ROWS, carry_last, hot_keys
 
 
 def visit_seconds(duration: Column, unit: str = "us") -> Column:
@@ -56,11 +56,13 @@ def poll_browsers(chromium: DataFrame, firefox: DataFrame, marks: DataFrame) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
-          tie: str, values: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+          tie: str, values: Sequence[str], hot_rows: int = HOT_ROWS, split_by: Sequence[str] | None = None
+          ) -> DataFrame:
     """Add struct `_match` with `values` of the newest right row at or before each left row.
 
     One shuffle of the two sides together; no pairs are formed. Equal times are in reach, and
-    among right rows of one time the highest `tie` counts.
+    among right rows of one time the highest `tie` counts. Hot keys are looked for by `split_by`,
+    which may leave out keys that are costly to compute.
     """
     row = F.struct(*left.columns)
     both = left.select(
@@ -70,7 +72,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
         *keys, F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"),
         F.struct(*values, F.col(right_ts).alias("_at")).alias("_value"),
     ), allowMissingColumns=True)
-    carried = carry_last(both, keys, "_at", ["_at", "_side", "_tie"], "_value", "_match", hot_rows)
+    split_by = list(split_by or keys)
+    hot = hot_keys(left.select(*split_by, F.col(left_ts).alias("_at")).unionByName(
+        right.select(*split_by, F.col(right_ts).alias("_at"))), split_by, "_at", hot_rows)
+    carried = carry_last(both, hot, keys, "_at", ["_at", "_side", "_tie"], "_value", "_match")
     return carried.where("_side = 1").select("_row.*", "_match")
 
 
@@ -88,7 +93,7 @@ def infer_active_url(windows: DataFrame, visits: DataFrame, lookback_seconds: in
     left = windows.withColumn("_page", _page_key("browser", "window_title"))
     right = visits.withColumn("_page", _page_key("browser", "title"))
     found = as_of(left, right, ["user_id", "browser", "_page"], "timestamp", "timestamp", "id",
-                  ["url"], hot_rows)
+                  ["url"], hot_rows, split_by=["user_id", "browser"])
     near = epoch_us(F.col("timestamp")) - epoch_us(F.col("_match._at")) <= lookback_seconds * 1_000_000
     return found.withColumn("url", F.when(near, F.col("_match.url"))).drop("_match", "_page")
 
@@ -118,7 +123,7 @@ def reconcile(a: DataFrame, b: DataFrame, key: str = "event_key") -> DataFrame:
 
 def missing_rows(have: DataFrame, other: DataFrame, key: str = "event_key") -> DataFrame:
     """Rows of `other` to append to `have` so that it has every key."""
-    return other.dropDuplicates([key]).join(have.select(key), key, "left_anti")
+    return other.dropDuplicates([key]).join(have.select(key).distinct(), key, "left_anti")
 
 
 def recent_urls(urls: DataFrame, since: str, n: int = 100) -> DataFrame:

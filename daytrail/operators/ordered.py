@@ -2,8 +2,9 @@
 
 A key (a user, a player, a browser) may hold a large part of all rows, so its rows are not
 left to one task. Keys above a row bound are cut into time chunks; windows run inside a chunk,
-and one summary row per chunk carries what has to cross the cut. Other keys have the chunk
-NULL, so that they cost no more than a plain window.
+and one summary row per chunk carries what has to cross the cut. There are at most twice HOT_SHARE
+chunks in all. Other keys have the chunk NULL, so that they cost no more than a plain window, and
+without hot keys the adaptive planner drops the branches that deal with them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ _CHUNK = "_chunk"
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hot keys with the start and width of their chunks: at most HOT_SHARE rows."""
+    """Hot keys with the start and width of their chunks: at most HOT_SHARE rows.
+
+    To be called on the frame as it is read, where counting costs a scan of a few columns.
+    """
     sizes = df.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.min(ts).alias("_first"),
@@ -40,11 +44,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_RO
     )
 
 
-def with_chunk(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS,
-               hot_only: bool = False) -> DataFrame:
-    """Add the time chunk of hot keys' rows, NULL for other keys'."""
-    hot = F.broadcast(hot_keys(df, keys, ts, hot_rows))  # at most HOT_SHARE rows
-    joined = df.join(hot, list(keys), "inner" if hot_only else "left")
+def with_chunk(df: DataFrame, hot: DataFrame, ts: str, hot_only: bool = False) -> DataFrame:
+    """Add the time chunk of hot keys' rows, NULL for other keys'.
+
+    `hot` may go by some of the keys only; then all keys that share a hot one are cut alike.
+    """
+    keys = [c for c in hot.columns if c not in ("_t0", "_width")]
+    joined = df.join(F.broadcast(hot), keys, "inner" if hot_only else "left")  # at most HOT_SHARE rows
     chunk = F.floor((epoch_us(F.col(ts)) - F.col("_t0")) / F.col("_width"))
     return joined.withColumn(_CHUNK, chunk).drop("_t0", "_width")
 
@@ -60,32 +66,31 @@ def _carry_over(chunks: DataFrame, keys: Sequence[str], value: Column, ascending
     return chunks.select(*keys, _CHUNK, F.last(value, ignorenulls=True).over(before).alias("_carry"))
 
 
-def neighbour_row(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-                  columns: Sequence[str], name: str = "_prev", following: bool = False,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+def neighbour_row(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
+                  columns: Sequence[str], name: str = "_prev", following: bool = False) -> DataFrame:
     """Add struct `name` with `columns` of the previous (or following) row, NULL at the end."""
     picked = F.struct(*columns)
     place = F.struct(*order)
     ordering = [F.col(c).desc() for c in order] if following else [F.col(c) for c in order]
     nearest = F.min_by if following else F.max_by
-    edges = with_chunk(df, keys, ts, hot_rows, hot_only=True).groupBy(*keys, _CHUNK).agg(
+    edges = with_chunk(df, hot, ts, hot_only=True).groupBy(*keys, _CHUNK).agg(
         nearest(picked, place).alias("_edge"))
     carried = _carry_over(edges, keys, F.col("_edge"), ascending=not following)
-    rows = with_chunk(df, keys, ts, hot_rows).withColumn(
+    rows = with_chunk(df, hot, ts).withColumn(
         "_near", F.lag(picked).over(_window(keys, ordering)))
     return rows.join(carried, [*keys, _CHUNK], "left").withColumn(
         name, F.coalesce("_near", "_carry")).drop("_near", "_carry", _CHUNK)
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], value: str,
-               name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def carry_last(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
+               value: str, name: str) -> DataFrame:
     """Add the last non-null `value` at or before each row."""
     place = F.struct(*order)
     until = _window(keys, [F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    tails = with_chunk(df, keys, ts, hot_rows, hot_only=True).groupBy(*keys, _CHUNK).agg(
+    tails = with_chunk(df, hot, ts, hot_only=True).groupBy(*keys, _CHUNK).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("_tail"))
     carried = _carry_over(tails, keys, F.col("_tail"), ascending=True)
-    rows = with_chunk(df, keys, ts, hot_rows).withColumn(
+    rows = with_chunk(df, hot, ts).withColumn(
         "_last", F.last(value, ignorenulls=True).over(until))
     return rows.join(carried, [*keys, _CHUNK], "left").withColumn(
         name, F.coalesce("_last", "_carry")).drop("_last", "_carry", _CHUNK)
@@ -101,9 +106,8 @@ def _breaks(same: Sequence[str], previous: Column, start: Column, max_gap_us: in
     return F.when(goes_on, F.lit(0)).otherwise(F.lit(1))
 
 
-def islands(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], same: Sequence[str],
-            max_gap_us: int | None = None, sums: Sequence[str] = (), hot_rows: int = HOT_ROWS
-            ) -> DataFrame:
+def islands(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
+            same: Sequence[str], max_gap_us: int | None = None, sums: Sequence[str] = ()) -> DataFrame:
     """One row per run of consecutive rows that agree in `same`.
 
     A gap above `max_gap_us` ends a run. Result: keys, `same`, `started_at`, `ended_at`,
@@ -130,9 +134,9 @@ def islands(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], s
         return parts.withColumn("_edge", F.col(_CHUNK).isNotNull()
                                 & ((F.col("_run") == 1) | (F.col("_run") == last)))
 
-    parts = at_edge(runs(with_chunk(df, keys, ts, hot_rows)))
+    parts = at_edge(runs(with_chunk(df, hot, ts)))
     inner = parts.where(~F.col("_edge")).select(*result)
-    edges = at_edge(runs(with_chunk(df, keys, ts, hot_rows, hot_only=True))).where("_edge")
+    edges = at_edge(runs(with_chunk(df, hot, ts, hot_only=True))).where("_edge")
     w = Window.partitionBy(*keys).orderBy(_CHUNK, "_run")
     before = F.lag(F.struct(*same, F.col("ended_at").alias("_end"), _CHUNK)).over(w)
     marked = edges.withColumn("_prev", before).withColumn("_break", F.when(

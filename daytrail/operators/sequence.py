@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daytrail.functions.timeparts import epoch_us
 from daytrail.functions.web import extract_domain
 from daytrail.operators.joins import infer_session_url
-from daytrail.operators.ordered import HOT_ROWS, islands, neighbour_row
+from daytrail.operators.ordered import HOT_ROWS, hot_keys, islands, neighbour_row
 from daytrail.operators.validation import MAX_DURATION_SECONDS
 
 WINDOW = ("app_name", "window_title")
@@ -22,7 +22,7 @@ def changed_only(df: DataFrame, same: Sequence[str] = WINDOW, keys: Sequence[str
                  ts: str = "timestamp", order: Sequence[str] = ("timestamp", "id"),
                  max_gap_seconds: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows that differ from the row before them; a gap above the bound also counts as a change."""
-    near = neighbour_row(df, keys, ts, order, [*same, ts], hot_rows=hot_rows)
+    near = neighbour_row(df, hot_keys(df, keys, ts, hot_rows), keys, ts, order, [*same, ts])
     previous = F.col("_prev")
     repeats = previous.isNotNull()
     for c in same:
@@ -52,7 +52,8 @@ def sessionize(df: DataFrame, grace_seconds: int, keys: Sequence[str] = ("user_i
                same: Sequence[str] = WINDOW, ts: str = "timestamp",
                order: Sequence[str] = ("timestamp", "id"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sessions: runs of the same window with no break longer than the grace."""
-    return islands(df, keys, ts, order, same, grace_seconds * 1_000_000, ["duration_seconds"], hot_rows)
+    return islands(df, hot_keys(df, keys, ts, hot_rows), keys, ts, order, same, grace_seconds * 1_000_000,
+                   ["duration_seconds"])
 
 
 def usage_spans(sessions: DataFrame, visits: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -86,8 +87,9 @@ def media_sessions(polls: DataFrame, keys: Sequence[str] = ("user_id", "source_a
     known, belong to one track and moved by no more than the clock did and one poll interval;
     else the time on the clock.
     """
-    near = neighbour_row(polls, keys, ts, order, [ts, "title", "artist", "position_ticks"],
-                         name="_next", following=True, hot_rows=hot_rows)
+    hot = hot_keys(polls, keys, ts, hot_rows)
+    near = neighbour_row(polls, hot, keys, ts, order, [ts, "title", "artist", "position_ticks"],
+                         name="_next", following=True)
     following = F.col("_next")
     clock = epoch_us(following[ts]) - epoch_us(F.col(ts))
     moved = F.floor((following["position_ticks"] - F.col("position_ticks")) / 10).cast("long")
@@ -96,8 +98,7 @@ def media_sessions(polls: DataFrame, keys: Sequence[str] = ("user_id", "source_a
     sane = same_track & moved.between(F.lit(0), clock + poll_interval_seconds * 1_000_000)
     timed = near.withColumn("played_us", F.when(following.isNull(), F.lit(0).cast("long")).when(
         sane, moved).otherwise(clock)).drop("_next")
-    spans = islands(timed, keys, ts, order, ["playback_state", "title", "artist"],
-                    sums=["played_us"], hot_rows=hot_rows)
+    spans = islands(timed, hot, keys, ts, order, ["playback_state", "title", "artist"], sums=["played_us"])
     return spans.where(F.col("playback_state") == "playing").select(
         *keys, "title", "artist", "started_at", F.col("ended_at").alias("last_seen"),
         "n_events", (F.col("played_us") / 1_000_000).alias("duration_seconds"))
@@ -114,7 +115,8 @@ def derive_durations(df: DataFrame, cap: int = MAX_DURATION_SECONDS, keys: Seque
                      ts: str = "timestamp", order: Sequence[str] = ("timestamp", "id"),
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fill a missing or zero duration with the time to the user's next event, up to a cap."""
-    near = neighbour_row(df, keys, ts, order, [ts], name="_next", following=True, hot_rows=hot_rows)
+    near = neighbour_row(df, hot_keys(df, keys, ts, hot_rows), keys, ts, order, [ts], name="_next",
+                         following=True)
     until_next = F.floor((epoch_us(F.col("_next")[ts]) - epoch_us(F.col(ts))) / 1_000_000)
     derived = F.least(F.coalesce(until_next, F.lit(0)), F.lit(cap)).cast("int")
     recorded = F.nullif(F.col("duration_seconds"), F.lit(0))

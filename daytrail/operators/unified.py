@@ -49,12 +49,11 @@ def normalize_event(df: DataFrame) -> DataFrame:
     def field(name: str) -> Column:
         return F.nullif(F.col(name), F.lit("")) if name in df.columns else F.lit(None).cast("string")
 
-    category = event_category(F.col("event_type"))
+    category = F.col("_category")
     moment = parse_event_ts(F.coalesce(*[field(f) for f in
                                          ("ended_at", "visited_at", "changed_at", "started_at", "logged_at")]))
     site = F.coalesce(field("domain"), extract_domain(field("url")))
-    rows = df.withColumns({
-        "_category": category,
+    rows = df.withColumn("_category", event_category(F.col("event_type"))).withColumns({
         "_source": F.when(category == "APP", F.coalesce(field("process_name"), field("app_name")))
         .when(category == "MEDIA", field("source_app")).otherwise(F.coalesce(field("browser"), field("source"))),
         "_item": F.when(category == "APP", field("app_name"))
@@ -217,4 +216,4 @@ def daily_sections(df: DataFrame, day: dt.date | str) -> DataFrame:
 def collect_since(log: DataFrame, since: str | dt.datetime, table: DataFrame | None = None) -> DataFrame:
     """Rows newer than `since` that the table does not have yet, each once."""
     new = dedupe_events(log.where(F.col("timestamp") > timestamp_lit(since)), ["event_key"], ["timestamp"])
-    return new if table is None else new.join(table.select("event_key"), "event_key", "left_anti")
+    return new if table is None else new.join(table.select("event_key").distinct(), "event_key", "left_anti")

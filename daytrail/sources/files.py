@@ -73,8 +73,7 @@ def export_all_days(df: DataFrame, out: str) -> None:
         log_timestamp(F.col("timestamp")).alias("timestamp"), "category", "item", "duration_seconds",
         readable_duration(F.col("duration_seconds")).alias("duration_readable"), "source", "event_type",
         "window", "url")
-    rows.repartition("date", "shift_id", F.substring("timestamp", 12, 2)).sortWithinPartitions(
-        "date", "shift_id", "timestamp").write.mode("overwrite").partitionBy(
+    rows.hint("rebalance", "date", "shift_id").sortWithinPartitions("date", "shift_id", "timestamp").write.mode("overwrite").partitionBy(
         "date", "shift_id").options(**CSV).csv(out)
 
 

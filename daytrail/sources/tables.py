@@ -40,20 +40,21 @@ def table_rows(df: DataFrame, ingest_time: Column) -> DataFrame:
 
 
 def load_events(df: DataFrame, path: str, ingest_time: Column) -> None:
-    """Append loadable events, sorted within files so that row groups can be skipped.
+    """Append loadable events."""
+    _append(table_rows(df, ingest_time), path)
 
-    Rows of one day meet in as many tasks as there are hash values of their minute, so that a
-    day is neither one task nor a small file per task.
-    """
-    rows = table_rows(df, ingest_time)
-    rows.repartition("event_date", F.hour("timestamp")).sortWithinPartitions(
-        "event_date", "type", "timestamp").write.mode("append").partitionBy("event_date").parquet(path)
+
+def _append(rows: DataFrame, path: str) -> None:
+    """Rows of a day meet in few files; the adaptive planner splits the tasks of a large day. Files
+    are sorted, so that row groups can be skipped."""
+    rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "type", "timestamp").write.mode(
+        "append").partitionBy("event_date").parquet(path)
 
 
 def new_rows(batch: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of a batch the table does not have, each once."""
-    once = dedupe_events(batch, ["event_key"], ["created_at"])
-    return once.join(table.select("event_date", "event_key"), ["event_date", "event_key"], "left_anti")
+    keys = ["event_date", "event_key"]  # one partitioning for the ranking, the known keys and the join
+    return dedupe_events(batch, keys, ["created_at"]).join(table.select(*keys).distinct(), keys, "left_anti")
 
 
 def touched_days(df: DataFrame, table: DataFrame, most: int = 1000) -> DataFrame:
@@ -73,6 +74,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def upsert_events(df: DataFrame, path: str, ingest_time: Column) -> None:
     """Append only events the table lacks; loading the same events again changes nothing."""
     spark = df.sparkSession
@@ -81,16 +88,13 @@ def upsert_events(df: DataFrame, path: str, ingest_time: Column) -> None:
         rows = new_rows(rows, touched_days(rows, read_usage_events(spark, path)))
     else:
         rows = dedupe_events(rows, ["event_key"], ["created_at"])
-    rows.repartition("event_date", F.hour("timestamp")).sortWithinPartitions(
-        "event_date", "type", "timestamp").write.mode("append").partitionBy("event_date").parquet(path)
+    _append(rows, path)
 
 
 def reject_rows(rejects: DataFrame, source: str, rejected_at: Column) -> DataFrame:
     """Dead-letter rows: the line, where it came from, and what is wrong with it."""
-    malformed = F.col("malformed") if "malformed" in rejects.columns else F.lit(False)
-    reasons = F.when(malformed, F.array(F.lit("malformed_json"))).otherwise(F.col("reasons"))
     raw = F.col("raw_line") if "raw_line" in rejects.columns else F.to_json(F.struct(*rejects.columns))
-    return rejects.select(raw.alias("raw"), F.lit(source).alias("source"), reasons.alias("reasons"),
+    return rejects.select(raw.alias("raw"), F.lit(source).alias("source"), "reasons",
                           rejected_at.alias("rejected_at"))
 
 
@@ -128,7 +132,5 @@ def archive_week(spark: SparkSession, path: str, archive: str, week_start: dt.da
         F.col("event_date").between(date_lit(days[0]), date_lit(days[-1])))
     week.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(
         f"{archive}/week={start.isoformat()}")
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for day in days:
-        fs.delete(hadoop_path(f"{path}/event_date={day.isoformat()}"), True)
+        remove_folder(spark, f"{path}/event_date={day.isoformat()}")

@@ -4,40 +4,49 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from daytrail.functions.timeparts import timestamp_lit
 from daytrail.operators.delivery import STATUSES
-from daytrail.operators.validation import clean_events
+from daytrail.operators.validation import (
+    apply_load_defaults, normalize_web, redact_events, split_valid, validate_events)
 from daytrail.sources.lines import stream_event_lines
 from daytrail.sources.tables import upsert_events, write_rejects
 
 
-def clean_lines(lines: DataFrame, ingest_time, default_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+def check_lines(lines: DataFrame, default_type: str | None = None) -> DataFrame:
+    """Parsed lines with `reasons`; being malformed is the only one of a malformed line."""
+    checked = validate_events(normalize_web(lines), default_type)
+    return checked.withColumn("reasons", F.when(
+        F.col("malformed"), F.array(F.lit("malformed_json"))).otherwise(F.col("reasons")))
+
+
+def clean_lines(lines: DataFrame, ingest_time: Column, default_type: str | None = None
+                ) -> tuple[DataFrame, DataFrame]:
     """(loadable events, rejects) of parsed lines; a malformed line is a reject."""
-    events, rejects = clean_events(lines.where(~F.col("malformed")), ingest_time, default_type)
-    broken = lines.where("malformed").drop("visit_time", "visit_duration").withColumn(
-        "reasons", F.array(F.lit("malformed_json")))
-    return events, rejects.unionByName(broken)
+    valid, rejects = split_valid(check_lines(lines, default_type))
+    return apply_load_defaults(redact_events(valid), ingest_time), rejects
 
 
 def ingest_batch(lines: DataFrame, events_path: str, batch_rejects_path: str, ingested_at: dt.datetime | str,
                  source: str = "stream", default_type: str | None = None) -> None:
-    """Load one batch of parsed lines. The batch is read twice, so it is kept while that lasts.
+    """Load one batch of parsed lines. The checked batch is read for events and for rejects, so it
+    is kept while that lasts.
 
     Events are loaded by key and a batch's rejects replace those of its earlier try, so a batch
     that runs again after a failure repeats nothing.
     """
     moment = timestamp_lit(ingested_at)
-    lines = lines.persist()
+    checked = check_lines(lines, default_type).persist()
     try:
-        events, rejects = clean_lines(lines, moment, default_type)
+        valid, rejects = split_valid(checked)
+        events = apply_load_defaults(redact_events(valid), moment)
         upsert_events(events, events_path, moment)
         write_rejects(rejects, batch_rejects_path, source, moment, mode="overwrite")
     finally:
-        lines.unpersist()
+        checked.unpersist()
 
 
 def ingest_stream(spark: SparkSession, source: str, events_path: str, rejects_path: str, checkpoint: str,
