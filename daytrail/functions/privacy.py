@@ -31,6 +31,9 @@ _PATTERNS = [_FLAGS + p.replace(r"[-\s]", rf"[-\s{_SEPARATORS}]").replace(r"\s*"
              for p in SENSITIVE_TEXT]
 # What a text must hold, after case folding, for the pattern in the same place to occur in it.
 _NEEDS = [["passw", "pwd"], ["user", "login", "email"], [], ["-"], ["bearer"], ["key"], ["secret"], ["token"]]
+# Letters that patterns take for s and i in any case, but lower case does not: the long s, the
+# i without a dot, and the dot that a dotted capital I leaves behind.
+_FOLDS = [("\u017f", "s"), ("\u0131", "i"), ("\u0307", "")]
 _FOUR_DIGITS = r"\p{Nd}{4}"
 _URL = r"(?s)^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _REDACTED_PARAM = "redacted=%5BREDACTED%5D"
@@ -52,8 +55,8 @@ def redact_text(text: Column) -> Column:
             needed(folded, rule[1]), F.regexp_replace(t, rule[0], REDACTED)).otherwise(t)),
             zip(_PATTERNS, _NEEDS, strict=True), text)
 
-    # Upper, then lower case folds as the patterns do; a dotted capital I leaves a dot behind.
-    return let(F.replace(F.lower(F.upper(text)), F.lit("\u0307"), F.lit("")), replaced)
+    folded = reduce(lambda c, fold: F.replace(c, F.lit(fold[0]), F.lit(fold[1])), _FOLDS, F.lower(text))
+    return let(folded, replaced)
 
 
 def url_decode(text: Column) -> Column:
