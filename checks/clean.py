@@ -9,6 +9,7 @@ from checks.bindings import AS_OF, bind, given
 from checks.registry import query
 from daytrail.functions import privacy, timeparts, web
 from daytrail.operators import validation
+from daytrail.schemas import EVENTS_DDL
 from daytrail.session import scratch_dir
 from daytrail.sources import lines, tables
 
@@ -118,6 +119,14 @@ def _(spark, sf):
         F.get_json_object("raw", "$.id").alias("id"), F.concat_ws(",", "reasons").alias("reasons"), "source")
 
 
+@query("check_table_schema", sql="""
+SELECT 'host' AS column_name, 'column missing' AS problem UNION ALL SELECT 'created_at', 'unexpected column'
+UNION ALL SELECT 'duration_seconds', 'type int, expected bigint'""")
+def _(spark, sf):
+    expected = EVENTS_DDL.replace("created_at TIMESTAMP_NTZ", "host STRING").replace("_seconds INT", "_seconds BIGINT")
+    return tables.check_table_schema(spark, spark.read.parquet(loaded_table(spark, sf)), expected)
+
+
 @query("parse_event_ts", needs=("base_events",), sql="""
 SELECT id, CASE id % 8
   WHEN 0 THEN CAST(CAST(timestamp AS DATE) AS TIMESTAMP) WHEN 1 THEN timestamp WHEN 2 THEN timestamp

@@ -8,7 +8,7 @@ from checks import duck
 from checks.bindings import AS_OF, DAY, WEEK, bind, facts, given
 from checks.clean import loaded_table
 from checks.registry import query
-from daytrail.operators import filters, lifecycle
+from daytrail.operators import filters, lifecycle, unified
 from daytrail.plans import daily
 from daytrail.plans import reports as plans
 from daytrail.session import scratch_dir
@@ -309,18 +309,23 @@ def _(spark, sf):
     return daily.first_event_date(bind(spark, sf, "usage_events"))
 
 
-@query("volume_check")
+@query("volume_check", sql="""
+SELECT CAST(sum(strlen(o_orderpriority || ',' || o_orderkey) + 1) AS BIGINT) AS bytes,
+  sum(strlen(o_orderpriority || ',' || o_orderkey) + 1) >= 200000 AS enough FROM orders""")
 def _(spark, sf):
     path = scratch_dir(spark, "volume")
-    files.write_fact_logs(facts(spark, sf), path)
-    return daily.volume_check(lines.list_files(spark, path, "*.csv"))
+    given(spark, sf, "orders").select(F.concat_ws(",", "o_orderpriority", "o_orderkey")).write.text(path)
+    return daily.volume_check(lines.list_files(spark, path, "*.txt"), 200_000)
 
 
-@query("source_inventory")
+@query("source_inventory", needs=("payload_rows",), sql="""
+SELECT lower(event_type) AS source, count(*) AS lines FROM payload_rows GROUP BY 1""")
 def _(spark, sf):
     path = scratch_dir(spark, "inventory")
-    files.write_fact_logs(facts(spark, sf), path)
-    return lines.source_inventory(spark, path, "*.csv")
+    rows = unified.normalize_event(bind(spark, sf, "payload_rows"))
+    for kind in ("APP_USAGE", "WEBSITE_USAGE", "WEBSITE_VISIT", "MEDIA_PLAYBACK"):
+        lines.write_structured_log(rows.where(F.col("event_type") == kind), f"{path}/{kind.lower()}")
+    return lines.source_inventory(spark, path, "*.txt").drop("files")
 
 
 # Retention

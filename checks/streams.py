@@ -99,21 +99,35 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("id")
 
 
-@query("session_stream")
+def _closing(events):
+    """The events and, per stream, one far later row, which lets the watermark pass all others."""
+    last = events.agg(F.max(F.struct("timestamp", *[c for c in events.columns if c != "timestamp"])).alias("r")).select("r.*")
+    return events.unionByName(last.withColumns({
+        "timestamp": F.col("timestamp") + F.expr("INTERVAL '60' DAY"), "type": F.lit("end"), "app_name": F.lit("end")}))
+
+
+@query("session_stream", needs=UE, ctes="""
+gaps AS (SELECT *, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w) AS gap FROM usage_events
+  WINDOW w AS (PARTITION BY user_id, app_name, window_title ORDER BY timestamp, id)),
+runs AS (SELECT *, sum(CASE WHEN gap <= 86400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, app_name, window_title ORDER BY timestamp, id) AS run FROM gaps)""",
+       sql="""
+SELECT user_id, app_name, window_title, min(timestamp) AS started_at, max(timestamp) AS ended_at, count(*) AS n_events,
+  CAST(sum(duration_seconds) AS BIGINT) AS duration_seconds FROM runs GROUP BY user_id, app_name, window_title, run""")
 def _(spark, sf):
     src, out = scratch_dir(spark, "events"), scratch_dir(spark, "sessions")
     events = bind(spark, sf, "usage_events")
-    events.write.parquet(src)
-    stream = windows.session_stream(_event_stream(spark, src, events.schema), "30 minutes", "1 hour")
+    _closing(events).write.parquet(src)
+    stream = windows.session_stream(_event_stream(spark, src, events.schema), "24 hours", "1 hour")
     windows.run_to_table(stream, out, f"{out}-checkpoint").awaitTermination()
     return spark.read.parquet(out)
 
 
-@query("daily_summary_stream")
+@query("daily_summary_stream", needs=UE, sql="""
+SELECT CAST(timestamp AS DATE) AS date, type, count(*) AS event_count FROM usage_events GROUP BY 1, 2""")
 def _(spark, sf):
     src, out = scratch_dir(spark, "events"), scratch_dir(spark, "summary")
     events = bind(spark, sf, "usage_events")
-    events.write.parquet(src)
+    _closing(events).write.parquet(src)
     stream = windows.daily_summary_stream(_event_stream(spark, src, events.schema), "1 hour")
     windows.run_to_table(stream, out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("date", "type", "event_count")  # its distinct counts are approximate

@@ -47,10 +47,11 @@ def integrity_check(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrong = kept.agg(
         F.count_if(~F.col("shift_id").eqNullSafe(right_shift)).alias("wrong_shift"),
         F.count_if(~F.col("category").eqNullSafe(right_category)).alias("wrong_category"))
-    report = duplicates.join(wrong).select(  # one row each
-        "duplicate_keys", "duplicate_rows", "wrong_shift", "wrong_category",
-        (F.col("duplicate_rows") + F.col("wrong_shift") + F.col("wrong_category")).alias("repaired"))
-    report = report.withColumn("status", F.when(F.col("repaired") > 0, "ISSUES").otherwise("OK"))
+    counts = duplicates.columns + wrong.columns
+    report = duplicates.unionByName(wrong, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in counts]).withColumn(
+        "repaired", F.col("duplicate_rows") + F.col("wrong_shift") + F.col("wrong_category")).withColumn(
+        "status", F.when(F.col("repaired") > 0, "ISSUES").otherwise("OK"))
     return report, kept.withColumns({"shift_id": right_shift, "category": right_category})
 
 

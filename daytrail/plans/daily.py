@@ -109,7 +109,9 @@ def _score(totals: DataFrame) -> DataFrame:
 def productivity_score(facts: dict[str, DataFrame], day: dt.date | str, rules: DataFrame) -> DataFrame:
     """One row: the score (share of productive time, in percent), class totals and searches."""
     searches = daily_searches(facts["website_visits"], day).agg(F.count("*").alias("searches"))
-    return _score(classify_activity(activity_time(facts, day), rules)).join(searches)  # one row each
+    score = _score(classify_activity(activity_time(facts, day), rules))
+    return score.unionByName(searches, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in (*score.columns, "searches")])
 
 
 def productivity_insights(facts: dict[str, DataFrame], day: dt.date | str, rules: DataFrame) -> DataFrame:

@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the library's plans rely on. All but the time zone are Spark defaults, spelled out
-# because hot join keys are left to the adaptive skew join.
+# Settings the library's plans rely on. The adaptive ones are Spark's defaults, spelled out because
+# hot join keys are left to the adaptive skew join. Zone-free times are UTC, so the session is too.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Streams keep their state outside of the heap, and merge sessions before they are shuffled.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
