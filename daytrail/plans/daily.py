@@ -166,9 +166,9 @@ def weekly_report(facts: dict[str, DataFrame], start: dt.date | str, rules: Data
                          value.cast("double").alias("value"))
 
     seconds = F.col("total_seconds")
-    per_day = in_week(facts["app_usage"], start, end, "started_at").withColumn(
-        "day", F.col("started_at").cast("date")).rollup("day").agg(
-        F.sum("duration_seconds").alias("total_seconds"), F.grouping("day").alias("_all"))
+    per_day = in_week(facts["app_usage"], start, end, "started_at").groupBy(
+        F.col("started_at").cast("date").alias("day")).agg(F.sum("duration_seconds").alias("_seconds")).rollup(
+        "day").agg(F.sum("_seconds").alias("total_seconds"), F.grouping("day").alias("_all"))
     names = reduce(lambda a, b: a.unionByName(b), [
         apps.select(F.lit("app").alias("kind"), F.col("app_name").alias("name"), "total_seconds"),
         sites.select(F.lit("domain").alias("kind"), F.col("domain").alias("name"), "total_seconds"),
@@ -183,11 +183,15 @@ def weekly_report(facts: dict[str, DataFrame], start: dt.date | str, rules: Data
 
 
 def shift_summary(df: DataFrame, day: dt.date | str) -> DataFrame:
-    """Seconds and events of a day per shift and category, with totals where these are NULL."""
-    rows = on_date(df, day).withColumn("shift_id", shift_id(F.col("timestamp")))
-    return rows.rollup("shift_id", "category").agg(
+    """Seconds and events of a day per shift and category, with totals where these are NULL.
+
+    The rollup multiplies the few rows per shift and category, not the events.
+    """
+    cells = on_date(df, day).groupBy(shift_id(F.col("timestamp")).alias("shift_id"), "category").agg(
+        F.sum("duration_seconds").alias("_seconds"), F.count("*").alias("_events"))
+    return cells.rollup("shift_id", "category").agg(
         F.grouping_id().cast("int").alias("level"),
-        F.sum("duration_seconds").alias("total_seconds"), F.count("*").alias("events"))
+        F.sum("_seconds").alias("total_seconds"), F.sum("_events").alias("events"))
 
 
 def weekly_update_day(df: DataFrame, week_start: dt.date | str, threshold_hours: float = 20.0) -> DataFrame:

@@ -134,3 +134,34 @@ def test_daily_summary_stream_counts(spark, small, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("date", "type", "event_count")
     want = events.groupBy(F.col("timestamp").cast("date").alias("date"), "type").agg(F.count("*").alias("event_count"))
     assert got.exceptAll(want).isEmpty() and got.count() >= want.count() - 2
+
+
+def test_dedupe_stream_over_several_batches(spark, tmp_path):
+    rows = [(i, "app", "a" if i % 3 else "b", None, None, at(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id INT, type STRING, app_name STRING, window_title STRING, url STRING, timestamp TIMESTAMP_NTZ")
+    out = str(tmp_path / "out")
+    for part in (df.where("id < 10"), df.where("id >= 10")):
+        part.repartition(4).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = windows.dedupe_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in")), "1 day")
+        windows.run_to_table(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.app_name for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_hot_url_is_split_by_the_adaptive_join(spark):
+    urls = spark.range(200).select("id", F.concat(F.lit("https://u"), "id").alias("url"), F.lit("t").alias("title"))
+    visits = spark.range(400_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 200).alias("url"), (F.col("id") + 13_349_318_400_000_000).alias("visit_time"),
+        F.lit(0).alias("visit_duration"), F.sha2(F.col("id").cast("string"), 256).alias("session")).repartition(16)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "500KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500KB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = joins.browser_history(visits, urls, 0)
+        assert len(df.collect()) == 400_000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
