@@ -15,6 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM does not compile a method beyond this size; Spark then better leaves out the fusing
+    # of a stage's operators, whose parts stay small.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording where in Python each column was made takes up much of the time to build a long query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Streams keep their state outside of the heap, and merge sessions before they are shuffled.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
