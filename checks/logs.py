@@ -38,12 +38,12 @@ def _(spark, sf):
 
 @query("read_structured_log", needs=PAYLOAD, ctes=duck.UNIFIED, sql=f"SELECT {_ROW}, shift_id, event_key FROM unified")
 def _(spark, sf):
-    """Plain JSON lines for half of the rows, structured lines for the rest, and lines that are no event."""
+    """Plain JSON lines for web rows, structured lines for the others, and lines that are no event."""
     rows = bind(spark, sf, "payload_rows")
     fields = [c for c in rows.columns if c not in ("id", "user_id", "event_type")]
-    legacy = rows.where("id % 8 < 4").select(F.to_json(F.struct(
+    legacy = rows.where("event_type LIKE 'WEB%'").select(F.to_json(F.struct(
         F.lit("2024-01-01T00:00:00Z").alias("logged_at"), "event_type", F.struct(*fields).alias("data"))).alias("value"))
-    normal = unified_rows(spark, sf).where("id % 8 >= 4")
+    normal = unified_rows(spark, sf).where("category <> 'WEB'")
     structured = normal.select(unified.structured_line(normal).alias("value"))
     noise = rows.select(F.concat(F.lit("note "), F.col("id").cast("string")).alias("value"))
     path = scratch_dir(spark, "log")
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("collect_since", needs=PAYLOAD, ctes=duck.UNIFIED, sql="""
 SELECT event_key, min(timestamp) AS timestamp FROM unified WHERE timestamp > TIMESTAMP '2024-01-12 00:00:00'
-AND event_key NOT IN (SELECT event_key FROM unified WHERE id % 3 = 0) GROUP BY event_key""")
+AND event_key NOT IN (SELECT event_key FROM unified WHERE category = 'WEB') GROUP BY event_key""")
 def _(spark, sf):
     rows = unified_rows(spark, sf)
-    return unified.collect_since(rows, "2024-01-12 00:00:00", rows.where("id % 3 = 0")).select("event_key", "timestamp")
+    return unified.collect_since(rows, "2024-01-12 00:00:00", rows.where("category = 'WEB'")).select("event_key", "timestamp")

@@ -141,20 +141,21 @@ def _(spark, sf):
 
 
 def _stores(spark, sf):
+    """Two copies of the events; one lost the short rows, the other the long ones."""
     events = bind(spark, sf, "usage_events").withColumn("event_key", F.md5(F.concat_ws("|", "user_id", "timestamp")))
-    return events.where("id % 7 <> 0"), events.where("id % 5 <> 0")
+    return events.where("duration_seconds >= 3"), events.where("duration_seconds <= 60")
 
 
 @query("reconcile", needs=UE, ctes="""
-keyed AS (SELECT id, md5(concat_ws('|', user_id, CAST(timestamp AS VARCHAR))) AS event_key FROM usage_events),
-a AS (SELECT event_key FROM keyed WHERE id % 7 <> 0), b AS (SELECT event_key FROM keyed WHERE id % 5 <> 0)""", sql="""
+keyed AS (SELECT id, duration_seconds, md5(concat_ws('|', user_id, CAST(timestamp AS VARCHAR))) AS event_key FROM usage_events),
+a AS (SELECT event_key FROM keyed WHERE duration_seconds >= 3), b AS (SELECT event_key FROM keyed WHERE duration_seconds <= 60)""", sql="""
 (SELECT event_key, 'b' AS missing_from FROM a EXCEPT SELECT event_key, 'b' FROM b)
 UNION ALL (SELECT event_key, 'a' FROM b EXCEPT SELECT event_key, 'a' FROM a)""")
 def _(spark, sf):
     return joins.reconcile(*_stores(spark, sf))
 
 
-@query("missing_rows", needs=UE, sql="SELECT id FROM usage_events WHERE id % 7 = 0 AND id % 5 <> 0")
+@query("missing_rows", needs=UE, sql="SELECT id FROM usage_events WHERE duration_seconds < 3")
 def _(spark, sf):
     have, other = _stores(spark, sf)
     return joins.missing_rows(have, other).select("id")

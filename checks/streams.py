@@ -65,12 +65,13 @@ def _(spark, sf):
 @query("upsert_batch", needs=UE, ctes=f"""
 keyed AS (SELECT *, {duck.usage_key()} AS event_key FROM usage_events)""", sql="""
 SELECT DISTINCT event_key, CAST(timestamp AS DATE) AS event_date FROM keyed
-WHERE event_key NOT IN (SELECT event_key FROM keyed WHERE id % 3 = 0)""")
+WHERE event_key NOT IN (SELECT event_key FROM keyed WHERE timestamp < TIMESTAMP '2024-01-12 00:00:00')""")
 def _(spark, sf):
     events = bind(spark, sf, "usage_events")
     at = timestamp_lit(AS_OF)
-    batch = tables.table_rows(events.unionByName(events.where("id % 4 = 0")), at)
-    return tables.new_rows(batch, tables.table_rows(events.where("id % 3 = 0"), at)).select("event_key", "event_date")
+    batch = tables.table_rows(events.unionByName(events.where("type = 'web'")), at)  # with copies
+    loaded = tables.table_rows(events.where("timestamp < '2024-01-12'"), at)
+    return tables.new_rows(batch, loaded).select("event_key", "event_date")
 
 
 @query("dedupe_stream", needs=UE, sql="SELECT DISTINCT type, app_name, window_title, url FROM usage_events")

@@ -52,7 +52,8 @@ def with_chunk(df: DataFrame, hot: DataFrame, ts: str, hot_only: bool = False) -
     keys = [c for c in hot.columns if c not in ("_t0", "_width")]
     joined = df.join(F.broadcast(hot), keys, "inner" if hot_only else "left")  # at most HOT_SHARE rows
     chunk = F.floor((epoch_us(F.col(ts)) - F.col("_t0")) / F.col("_width"))
-    return joined.withColumn(_CHUNK, chunk).drop("_t0", "_width")
+    return joined.withColumn(_CHUNK, F.when(  # rows without a time come first, as they sort
+        F.col("_t0").isNotNull(), F.coalesce(chunk, F.lit(-1)))).drop("_t0", "_width")
 
 
 def _window(keys: Sequence[str], order: Sequence[Column]) -> Window:
