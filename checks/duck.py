@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
+from daytrail.functions.privacy import SENSITIVE_PARAMS, SENSITIVE_TEXT
+
 # RE2 knows ASCII word boundaries only. So each letter or digit beyond ASCII is put between two
 # ASCII marks before the replacing, and the marks are taken out after it.
 _MARK = "QZXQ"
 _BEYOND = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{1FFF}\x{2C00}-\x{2FEF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]"
 _SPACES = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_PATTERNS = [
-    r"(password|passwd|pwd)\s*[=:]\s*\S+",
-    r"(username|user|login|email)\s*[=:]\s*\S+",
-    r"\b(?:\d{4}[-\s]?){4}\b",
-    r"\b\d{3}-\d{2}-\d{4}\b",
-    r"bearer\s+\S+",
-    r"api[-_]?key\s*[=:]\s*\S+",
-    r"secret\s*[=:]\s*\S+",
-    r"token\s*[=:]\s*\S+",
-]
 
 
 def redact_text(col: str) -> str:
     sql = rf"regexp_replace({col}, '({_BEYOND})', '{_MARK}\1{_MARK}', 'g')"
-    for p in _PATTERNS:
+    for p in SENSITIVE_TEXT:
         p = p.replace(r"[-\s]", f"[-{_SPACES}]").replace(r"\s", f"[{_SPACES}]").replace(r"\S", f"[^{_SPACES}]")
         sql = f"regexp_replace({sql}, '{p}', '[REDACTED]', 'gi')"
     return f"replace({sql}, '{_MARK}', '')"
 
 
 _URL = r"'^([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
-SENSITIVE = "password|passwd|token|api_key|key|secret|auth"
+SENSITIVE = "|".join(SENSITIVE_PARAMS)
 
 
 def _assemble(url: str, query: str) -> str:
