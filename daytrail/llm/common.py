@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +47,24 @@ def with_start(df: DataFrame, group: str | None, bucket: str, order: list[str],
     return (df.withColumn("__within", F.coalesce(F.sum(size).over(within), F.lit(0)))
             .join(totals, same).withColumn(start, F.col("__before") + F.col("__within"))
             .drop("__before", "__within", *[f"__{k}" for k in keys]))
+
+
+def addressed(df: DataFrame) -> DataFrame:
+    """Add `__file` and `__row`, which tell every row apart, equal rows too, and stay the same when a task reruns.
+
+    They are the place in the Parquet file that the row comes from; a frame that is no plain read is stored first.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return stored(df, "rows").select("*", *place)
+
+
+def numbers(df: DataFrame, count: Column, name: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row once for every 0 <= `name` < `count`, spread over tasks; no array gets longer than a chunk."""
+    chunks = df.withColumn("__count", count).filter("__count > 0").withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__count") - 1) / chunk))))
+    first = F.col("__chunk") * chunk
+    last = F.least(first + chunk - 1, F.col("__count") - 1)
+    return chunks.repartition(F.col("__chunk")).withColumn(name, F.explode(F.sequence(first, last))).drop("__count", "__chunk")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import packing, token_binary
+from daytrail.llm import mixing, packing, quality, token_binary
 from daytrail.llm.common import table
 from daytrail.session import scratch_dir
 
@@ -19,10 +19,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_binary.token_files(docs, scratch_dir(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op9_token_binary)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_best_fit_packing, op4_quality_rules, op6_source_mixing, op9_token_binary)}
 ORACLES: dict[str, str] = {}
