@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import mixing, packing, quality, token_binary
+from daytrail.llm import mixing, near_dedup, packing, quality, token_binary
 from daytrail.llm.common import table
 from daytrail.session import scratch_dir
 
@@ -27,11 +28,16 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_binary.token_files(docs, scratch_dir(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_best_fit_packing, op4_quality_rules, op6_source_mixing, op9_token_binary)}
+    op1_best_fit_packing, op4_quality_rules, op6_source_mixing, op7_near_dedup, op9_token_binary)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}

@@ -183,7 +183,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     # One row a file, so that the running sum over all of them is small.
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = placed.select("path", "bytes", "before").repartition(F.col("path"))
+    spread = placed.select("path", "bytes", "before").repartition(max(1, files.count()), "path")  # a task for each file
     return spread.mapInArrow(read, "doc_id LONG, start LONG, n_tokens LONG, ids_crc32 LONG")
 
 
