@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import mixing, near_dedup, packing, quality, token_binary
+from daytrail.llm import lm_scoring, mixing, near_dedup, packing, quality, token_binary, tool_calls, topk, warc
 from daytrail.llm.common import table
 from daytrail.session import scratch_dir
 
@@ -20,10 +20,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_every(table(spark, sf_dir, "embeddings"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,16 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(docs, scratch_dir(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_best_fit_packing, op4_quality_rules, op6_source_mixing, op7_near_dedup, op9_token_binary)}
+    op1_best_fit_packing, op2_warc, op4_quality_rules, op5_top_k_search, op6_source_mixing, op7_near_dedup, op8_lm_scoring, op9_token_binary,
+    op10_chat_formatting)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op5_top_k_search": topk.ORACLE}
