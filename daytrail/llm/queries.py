@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import lm_scoring, mixing, near_dedup, packing, quality, token_binary, tool_calls, topk, warc
+from daytrail.llm import html_extraction, lm_scoring, mixing, near_dedup, packing, quality, token_binary, tool_calls, topk, warc
 from daytrail.llm.common import table
 from daytrail.session import scratch_dir
 
@@ -24,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_warc, op4_quality_rules, op5_top_k_search, op6_source_mixing, op7_near_dedup, op8_lm_scoring, op9_token_binary,
+    op1_best_fit_packing, op2_warc, op3_html_extraction, op4_quality_rules, op5_top_k_search, op6_source_mixing, op7_near_dedup, op8_lm_scoring, op9_token_binary,
     op10_chat_formatting)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op5_top_k_search": topk.ORACLE}

@@ -156,7 +156,7 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         kind == 1, F.to_json(F.struct(text.alias("expression"), size.alias("digits")))).otherwise(F.to_json(F.struct(text.alias("key"))))
     calls = rows.filter("role = 'assistant'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.get(F.array(*[F.lit(n) for n in SCHEMAS]), kind).alias("name"),
-        arguments.alias("arguments"), name(F.col("turn") - 2).alias("after"))
+        arguments.alias("arguments"), F.when(F.col("turn") > 1, name(F.col("turn") - 2)).alias("after"))
     results = rows.filter("role IN ('user', 'tool') AND turn > 0").select(
         "conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
