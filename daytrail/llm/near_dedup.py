@@ -5,13 +5,15 @@ of its own and offers the value (i, hash); in round size + k all offer one to co
 when all its coordinates have one. So every coordinate is filled, for short documents too, in O(size log size +
 shingles) steps, and the share of equal coordinates is concentrated about the Jaccard similarity as if they were
 drawn without replacement. Bands of `rows` coordinates collide: at a similarity of 0.85 two documents miss
-all 40 bands of 6 with a probability of 6e-9.
+all 52 bands of 8 with a probability of 7e-8. One byte of each coordinate is kept to estimate similarities.
 
 Documents with equal sets are one node. Links are found among nodes, never as all pairs of a bucket:
 1. each bucket's nodes are held against one of them, the pivot, by their full sets, which joins most of a group;
 2. only buckets that still hold several components go on, and once more with another pivot;
-3. what is left there is held against each other across components, where sizes allow a link and at least two
-   bands are shared (with fewer, a link of 0.85 has a probability of 2e-7). So no partner is left out.
+3. what is left there is held against each other across components, where sizes allow a link: small buckets by a join
+   that gives a row at most `small` pairs, larger ones in chunks within tasks, by sketches alone. No partner is left out.
+Pairs go on to the full sets if their sketches' estimate is at most 5.5 standard deviations below the least similarity,
+which a true link falls short of with a probability of 2e-8; what those sets say is final.
 
 Rules: texts without words are in no group and stay. Copies and equal rows are one node. A null doc_id takes part but
 is never a group's smallest unless all are null, and is then not kept. No documents give no rows.
@@ -38,9 +40,17 @@ class Near:
 
     percent: int = 85
     width: int = 5
-    rows: int = 6
-    bands: int = 40
+    rows: int = 8
+    bands: int = 52
     pivots: int = 2
+    small: int = 32
+    chunk: int = 1024
+
+    @property
+    def least_equal(self) -> int:
+        """Coordinates that a pair's sketches must share to be verified."""
+        n, p = self.rows * self.bands, self.percent / 100
+        return int(n * p - 5.5 * (n * p * (1 - p)) ** 0.5)
 
 
 def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -78,7 +88,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """(doc_id, file, row, n_shingles, node, keys): node, the set's 128-bit fingerprint, is null for an empty set."""
+    """(doc_id, file, row, n_shingles, node, keys, sketch): node, the set's 128-bit fingerprint, is null for an empty set."""
     size = near.rows * near.bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +106,18 @@ def sketched(docs: DataFrame, near: Near = Near()) -> DataFrame:
     def rows(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         keys: list[np.ndarray | None] = [None] * len(sets)
-        for i, k in zip(full, band_keys(sketches([sets[i] for i in full], size), near.rows), strict=True):
-            keys[i] = k
+        sketch = sketches([sets[i] for i in full], size)
+        bytes_: list[bytes | None] = [None] * len(sets)
+        for i, k, c in zip(full, band_keys(sketch, near.rows), sketch.astype(np.uint8), strict=True):
+            keys[i], bytes_[i] = k, c.tobytes()
         nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([
             batch["doc_id"], batch["__file"], batch["__row"], pa.array(list(map(len, sets)), pa.int64()),
-            pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "__file", "__row", "n_shingles", "node", "keys"])
+            pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
+            ["doc_id", "__file", "__row", "n_shingles", "node", "keys", "sketch"])
 
     own = addressed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__file", "__row")
-    return own.mapInArrow(run, "doc_id LONG, __file LONG, __row LONG, n_shingles LONG, node BINARY, keys ARRAY<LONG>")
+    return own.mapInArrow(run, "doc_id LONG, __file LONG, __row LONG, n_shingles LONG, node BINARY, keys ARRAY<LONG>, sketch BINARY")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, near: Near = Near()) -> DataFrame:
@@ -161,13 +173,57 @@ def similar_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _coordinates(sketch: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = sketch.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint8)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            equal = (_coordinates(batch["x"]) == _coordinates(batch["y"])).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(equal >= near.least_equal))
+
+    of = nodes.select("node", "sketch")
+    both = pairs.join(of.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(of.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a BINARY, b BINARY")
+
+
+def likely_within(members: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """(a, b), perhaps repeated, of all likely pairs of different roots in the same bucket.
+
+    `members`: (key, node, n, root, c), c the bucket's size. A bucket is dealt into chunks, and a group is two of them.
+    """
+    count = F.ceil(F.col("c") / near.chunk)
+    dealt = members.join(nodes.select("node", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), count))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, low, high = (table[c].to_numpy() for c in ("own", "low", "high"))
+        names, roots = np.array(table["node"].to_pylist(), object), np.array(table["root"].to_pylist(), object)
+        n, sketch = table["n"].to_numpy(), _coordinates(table["sketch"])
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        a, b = [], []
+        for i in left.tolist():
+            fit = right[(np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * near.percent) & (roots[right] != roots[i])]
+            fit = fit[(sketch[fit] == sketch[i]).sum(axis=1) >= near.least_equal]
+            for other in names[fit]:
+                a.append(min(names[i], other)), b.append(max(names[i], other))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return dealt.select("key", "node", "n", "root", "sketch", "own", "low", "high").groupBy("key", "low", "high").applyInArrow(
+        compare, "a BINARY, b BINARY")
+
+
 def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
-    """(node, root) of all nodes that have a link. `nodes`: stored (node, n, keys, __file, __row)."""
+    """(node, root) of all nodes that have a link. `nodes`: stored (node, n, keys, sketch, __file, __row)."""
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = stored(members.join(stored(shared, "buckets"), "key"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "__file", "__row"), "node")
-    sets = stored(full_sets(docs, stored(wanted, "wanted"), near), "sets")
+    nodes = stored(members.select("node").distinct().join(nodes.drop("keys"), "node"), "shared-nodes")
+    sets = stored(full_sets(docs, nodes.select("node", "__file", "__row"), near), "sets")
     tested = links = roots = None
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -187,7 +243,7 @@ def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
     def ordered(pairs: DataFrame) -> DataFrame:
         fit = pairs.filter((F.col("p.root") != F.col("q.root")) & similar_size("p.n", "q.n", near.percent))
         named = fit.select("key", F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-        return named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+        return likely(named.select("a", "b").distinct(), nodes, near)
 
     for step in range(near.pivots + 1):
         now = open_members()
@@ -199,9 +255,11 @@ def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
             pivot = now.groupBy("key").agg(F.min_by(one, F.xxhash64("node", F.lit(step))).alias("p"))
             pairs = ordered(own.join(pivot, "key"))
         else:
-            other = now.select("key", one.alias("p"))
-            pairs = ordered(own.join(other, "key").filter("p.node < q.node")).filter("keys > 1")
-        pairs = pairs.select("a", "b")
+            sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+            now = stored(now.join(sizes, "key"), "left-members")
+            few, many = now.filter(F.col("c") <= near.small), now.filter(F.col("c") > near.small)
+            pairs = ordered(few.select("key", one.alias("q")).join(few.select("key", one.alias("p")), "key").filter("p.node < q.node"))
+            pairs = pairs.unionByName(likely_within(many, nodes, near)).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stored(verified(pairs), "links")
@@ -216,8 +274,8 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     rows = stored(sketched(docs, near), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(
-        F.min(own).alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    nodes = stored(nodes.select("node", "n", "keys", "first", "first.__file", "first.__row"), "nodes")
+        F.min(own).alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.select("node", "n", "keys", "sketch", "first", "first.__file", "first.__row"), "nodes")
     roots = linked(docs, nodes, near)
     of = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
