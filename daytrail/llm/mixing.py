@@ -101,7 +101,9 @@ def draws(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     slots = numbers(total, F.col("all_slots"), "t")
     draw = F.conv(F.substring(_hash(F.lit(mix.seed), F.lit("slot"), F.col("t")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     slots = slots.withColumn("place", F.floor(draw * F.col("all_slots"))).withColumn("cell", cell(F.col("place")))
-    drawn = slots.join(guide, "cell").filter("place >= first_slot AND place < first_slot + n_slots")
+    guide = stored(guide, "guide")
+    # Two rows a source or so, broadcast where that is checked to be little.
+    drawn = slots.join(F.broadcast(guide) if guide.count() <= 100_000 else guide.hint("merge"), "cell").filter("place >= first_slot AND place < first_slot + n_slots")
     counts = drawn.groupBy(F.floor(F.col("t") / mix.shard).alias("shard"), "no").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts, "shard-counts")
     counts = with_start(counts.withColumn("bucket", F.floor(F.col("shard") / 1024)), "no", "bucket", ["shard"], "n", "j0")
@@ -126,7 +128,8 @@ def draws(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def placed(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(shard, slot, no, j, block, pass, take): the whole output, a row a slot."""
-    slots = draws(sources, mix).join(blocks(sources, mix), ["no", "j"])
+    # Catalyst takes what is counted out from a few rows for as small as these; both sides grow with the words.
+    slots = draws(sources, mix).hint("merge").join(blocks(sources, mix), ["no", "j"])
     slot = F.row_number().over(Window.partitionBy("shard").orderBy(_hash(F.lit(mix.seed), F.lit("place"), "no", "j"), "no", "j")) - 1
     return slots.withColumn("slot", slot)
 
@@ -149,7 +152,7 @@ def spans(streams: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame
     used = placed(sources, mix).select("no", "block", "pass", "take")
     at = F.col("block") * mix.block
     begin, end = F.greatest("start", at), F.least(F.col("start") + F.col("size"), at + F.col("take"))
-    df = parts.join(used, ["no", "block"]).filter(begin < end)
+    df = parts.hint("merge").join(used, ["no", "block"]).filter(begin < end)
     return df.withColumns({"begin": begin - F.col("start"), "end": end - F.col("start")}).drop("block", "take")
 
 
