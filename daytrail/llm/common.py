@@ -49,16 +49,20 @@ def with_start(df: DataFrame, group: str | None, bucket: str, order: list[str],
             .drop("__before", "__within", *[f"__{k}" for k in keys]))
 
 
+def rereadable(df: DataFrame) -> DataFrame:
+    """`df` if it is a plain read of files, else stored, so that its rows have addresses."""
+    try:
+        return df.select("_metadata.row_index") and df
+    except AnalysisException:
+        return stored(df, "rows")
+
+
 def addressed(df: DataFrame) -> DataFrame:
-    """Add `__file` and `__row`, which tell every row apart, equal rows too, and stay the same when a task reruns.
+    """Add `__file` and `__row`, the place in the files of a `rereadable` frame that a row comes from.
 
-    They are the place in the Parquet file that the row comes from; a frame that is no plain read is stored first.
+    They tell every row apart, equal rows too, and stay the same when a task runs again.
     """
-    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-    try:
-        return df.select("*", *place)
-    except AnalysisException:
-        return stored(df, "rows").select("*", *place)
+    return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
 def numbers(df: DataFrame, count: Column, name: str, chunk: int = 1 << 16) -> DataFrame:

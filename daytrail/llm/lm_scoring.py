@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.common import addressed, stored
+from daytrail.llm.common import addressed, rereadable, stored
 
 SLICE_BYTES = 8_000_000
 
@@ -92,7 +92,7 @@ def scores(docs: DataFrame, labels: DataFrame, model: Model = Model()) -> DataFr
     """(doc_id, n_tokens, target_loss, background_loss, score), losses in bits a token."""
     table = stored(losses(docs, labels, model), "gram-losses")
     block = F.xxhash64("__file", F.floor(F.col("__row") / model.block_rows))
-    rows = addressed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"))
+    rows = addressed(rereadable(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

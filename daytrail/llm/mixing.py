@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytrail.llm.common import addressed, numbers, stored, with_start, words
+from daytrail.llm.common import addressed, numbers, rereadable, stored, with_start, words
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def placed(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def streamed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     """(documents with their number of words and their first word's place in the source, the sources)."""
-    text = F.col("text").cast("string")
+    docs, text = rereadable(docs), F.col("text").cast("string")
     sized = stored(addressed(docs).select("__file", "__row", "doc_id", "source", F.size(words(text)).cast("long").alias("size")), "sizes")
     sources = stored(targets(sized, mix), "targets")
     names = sources.select(F.col("source").alias("__source"), "no", "source_size", "target")
@@ -171,14 +171,16 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A document that is taken whole keeps its text as it is; of others the taken words stay, each with the white
     space behind it. `n_chars` follows the text.
     """
-    own = docs.columns
+    own, docs = docs.columns, rereadable(docs)
     streams, sources = streamed(docs, mix)
     streams = stored(streams, "streams")
     parts = spans(streams, sources, mix).groupBy("__file", "__row", "pass", "size").agg(
         F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("parts"), F.sum(F.col("end") - F.col("begin")).alias("taken"))
-    df = addressed(docs).join(parts, ["__file", "__row"])
-    text = F.regexp_replace(F.col("text").cast("string"), r"^[\x20\x09-\x0D]+", "")
-    df = df.withColumn("__units", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("__units", (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))), "")
-    df = df.withColumn("__text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(F.regexp_replace(some, r"[\x20\x09-\x0D]+$", "")))
-    return df.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in own])
+    # The documents' own columns stay in a structure, so that no name of theirs meets one of these.
+    df = addressed(docs).select(F.struct(*own).alias("__doc"), F.col("text").cast("string").alias("words"), "__file", "__row")
+    df = df.join(parts, ["__file", "__row"])
+    text = F.regexp_replace("words", r"^[\x20\x09-\x0D]+", "")
+    df = df.withColumn("units", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("units", (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))), "")
+    df = df.withColumn("out", F.when(F.col("taken") == F.col("size"), F.col("words")).otherwise(F.regexp_replace(some, r"[\x20\x09-\x0D]+$", "")))
+    return df.select(*[F.col("out").alias(c) if c == "text" else F.length("out").cast("long").alias(c) if c == "n_chars" else F.col(f"__doc.{c}") for c in own])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.common import addressed, stored
+from daytrail.llm.common import addressed, rereadable, stored
 from daytrail.llm.shingles import mixed_bits, shingle_sets
 
 
@@ -271,6 +271,7 @@ def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
 
 def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """Every row: (doc_id, __file, __row, n_shingles, component_id, stays); `stays` on one row of each group."""
+    docs = rereadable(docs)
     rows = stored(sketched(docs, near), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(
@@ -295,5 +296,6 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row of each group, with its own columns: that of the smallest doc_id, and of equal ids the first."""
+    docs = rereadable(docs)
     gone = stored(grouped(docs, near).filter(~F.col("stays")).select("__file", "__row"), "duplicates")
     return addressed(docs).join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
