@@ -254,10 +254,10 @@ def _(spark, sf):
 
 
 _IN_WEEK = "CAST(started_at AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'"
-_WEEK = f"""week_apps AS (SELECT app_name, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM app_usage WHERE {_IN_WEEK} GROUP BY 1),
-week_sites AS (SELECT domain, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM website_usage WHERE {_IN_WEEK} GROUP BY 1),
+_WEEK = f"""week_apps AS (SELECT app_name, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM (SELECT DISTINCT * FROM app_usage) WHERE {_IN_WEEK} GROUP BY 1),
+week_sites AS (SELECT domain, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM (SELECT DISTINCT * FROM website_usage) WHERE {_IN_WEEK} GROUP BY 1),
 week_media AS (SELECT source_app || ' | ' || title || ' - ' || artist AS track, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds
-  FROM media_playback WHERE {_IN_WEEK} GROUP BY 1)"""
+  FROM (SELECT DISTINCT * FROM media_playback) WHERE {_IN_WEEK} GROUP BY 1)"""
 
 
 @query("weekly_apps", needs=FACTS, ctes=_WEEK, sql="SELECT * FROM week_apps")
@@ -288,8 +288,8 @@ week_classed AS (SELECT n.*, coalesce(r.activity, CASE WHEN n.kind = 'media' AND
 SELECT 'app_seconds' AS metric, app_name AS key, CAST(total_seconds AS DOUBLE) AS value FROM week_apps
 UNION ALL SELECT 'website_seconds', domain, CAST(total_seconds AS DOUBLE) FROM week_sites
 UNION ALL SELECT 'media_seconds', track, CAST(total_seconds AS DOUBLE) FROM week_media
-UNION ALL SELECT 'day_seconds', CAST(CAST(started_at AS DATE) AS VARCHAR), CAST(sum(duration_seconds) AS DOUBLE) FROM app_usage WHERE {_IN_WEEK} GROUP BY 2
-UNION ALL SELECT 'day_seconds', 'total', CAST(sum(duration_seconds) AS DOUBLE) FROM app_usage WHERE {_IN_WEEK}
+UNION ALL SELECT 'day_seconds', CAST(CAST(started_at AS DATE) AS VARCHAR), CAST(sum(duration_seconds) AS DOUBLE) FROM (SELECT DISTINCT * FROM app_usage) WHERE {_IN_WEEK} GROUP BY 2
+UNION ALL SELECT 'day_seconds', 'total', CAST(sum(duration_seconds) AS DOUBLE) FROM (SELECT DISTINCT * FROM app_usage) WHERE {_IN_WEEK}
 UNION ALL SELECT 'productivity_score', NULL,
   100.0::DOUBLE * CAST(sum(total_seconds) FILTER (activity = 'productive') AS BIGINT) / CAST(sum(total_seconds) AS BIGINT) FROM week_classed""")
 def _(spark, sf):

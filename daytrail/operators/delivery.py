@@ -109,8 +109,13 @@ def schedule_retries(failures: DataFrame, now: dt.datetime | str) -> DataFrame:
 
 
 def apply_outcomes(log: DataFrame, outcomes: DataFrame, now: dt.datetime | str) -> DataFrame:
-    """The log with the status each tried row ended in. `outcomes`: id, outcome, message."""
-    tried = log.join(outcomes.select("id", "outcome", "message"), "id", "left")
+    """The log with the status each tried row ended in. `outcomes`: id, outcome, message and perhaps `at`.
+
+    Of several outcomes of an id the last by `at` counts; without times, the greatest by name and message.
+    """
+    order = F.struct(*[c for c in ("at", "outcome", "message") if c in outcomes.columns])
+    last = outcomes.groupBy("id").agg(F.max_by(F.struct("outcome", "message"), order).alias("_last"))
+    tried = log.join(last.select("id", "_last.*"), "id", "left")
     done = F.col("outcome").isNotNull()
     return tried.withColumns({
         "status": F.coalesce("outcome", "status"),

@@ -8,6 +8,7 @@ splits a hot key's partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
 
     One shuffle of the two sides together; no pairs are formed. Equal times are in reach, and
     among right rows of one time the highest `tie` counts. Hot keys are looked for by `split_by`,
-    which may leave out keys that are costly to compute.
+    which may leave out keys that are costly to compute. As in a join, a NULL key matches nothing.
     """
     row = F.struct(*left.columns)
     both = left.select(
@@ -76,7 +77,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
     hot = hot_keys(left.select(*split_by, F.col(left_ts).alias("_at")).unionByName(
         right.select(*split_by, F.col(right_ts).alias("_at"))), split_by, "_at", hot_rows)
     carried = carry_last(both, hot, keys, "_at", ["_at", "_side", "_tie"], "_value", "_match")
-    return carried.where("_side = 1").select("_row.*", "_match")
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return carried.where("_side = 1").select("_row.*", F.when(known, F.col("_match")).alias("_match"))
 
 
 def _page_key(browser: str, title: str) -> Column:

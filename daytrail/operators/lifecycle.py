@@ -17,16 +17,16 @@ RETENTION_DAYS = 90
 
 def purge_older_than(df: DataFrame, as_of: dt.datetime | str, days: int = RETENTION_DAYS,
                      ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:
-    """(kept rows, one row with `rows_deleted`)."""
+    """(kept rows, one row with `rows_deleted`). Rows without a time are kept."""
     moment = dt.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
-    old = F.col(ts) < timestamp_lit(moment - dt.timedelta(days=days))
+    old = F.coalesce(F.col(ts) < timestamp_lit(moment - dt.timedelta(days=days)), F.lit(False))
     return df.where(~old), df.agg(F.count_if(old).alias("rows_deleted"))
 
 
 def prune_before(df: DataFrame, cutoff: dt.datetime | str, ts: str = "timestamp"
                  ) -> tuple[DataFrame, DataFrame]:
-    """(rows from the cutoff on, one summary row); the export state starts anew."""
-    old = F.col(ts) < timestamp_lit(cutoff)
+    """(rows from the cutoff on and those without a time, one summary row); the export state starts anew."""
+    old = F.coalesce(F.col(ts) < timestamp_lit(cutoff), F.lit(False))
     summary = df.agg(
         F.count_if(old).alias("removed_events"), F.count_if(~old).alias("remaining_events"),
         F.lit("").alias("last_shift_export_key"), F.lit("").alias("last_daily_export_date"))
@@ -59,7 +59,8 @@ def scheduled_exports(df: DataFrame, now: dt.datetime | str, last_shift: str | N
                       last_day: dt.date | str | None = None, ts: str = "timestamp") -> DataFrame:
     """Exports due at `now`: `kind` (shift, day) and `export_key`.
 
-    Every shift and day that is over counts from the first event on, also without events.
+    Every shift and day that is over counts from the first event on, also if it has no events itself.
+    Nothing is due before there is any event.
     A last export that lies ahead of the last full day is taken back to it.
     """
     moment = dt.datetime.fromisoformat(now) if isinstance(now, str) else now
@@ -79,7 +80,7 @@ def scheduled_exports(df: DataFrame, now: dt.datetime | str, last_shift: str | N
 
     def due(kind: str, first, last: int, after: int) -> DataFrame:
         start = F.greatest(first, F.lit(after + 1))
-        return span.where(start <= last).select(
+        return span.where(F.col("_first").isNotNull() & (start <= last)).select(
             F.lit(kind).alias("kind"), F.explode(F.sequence(start, F.lit(last))).alias("_n"))
 
     day, shift = shift_from_order(F.col("_n"))

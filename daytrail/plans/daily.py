@@ -136,21 +136,21 @@ def productivity_insights(facts: dict[str, DataFrame], day: dt.date | str, rules
 
 
 def weekly_apps(app_usage: DataFrame, start: dt.date | str, end: dt.date | str | None = None) -> DataFrame:
-    return _time_by(in_week(app_usage, start, end, "started_at"), "app_name")
+    return _time_by(distinct_rows(in_week(app_usage, start, end, "started_at")), "app_name")
 
 
 def weekly_websites(website_usage: DataFrame, start: dt.date | str, end: dt.date | str | None = None) -> DataFrame:
-    return _time_by(in_week(website_usage, start, end, "started_at"), "domain")
+    return _time_by(distinct_rows(in_week(website_usage, start, end, "started_at")), "domain")
 
 
 def weekly_media(media: DataFrame, start: dt.date | str, end: dt.date | str | None = None) -> DataFrame:
     track = F.concat_ws(" | ", "source_app", F.concat_ws(" - ", "title", "artist")).alias("track")
-    return _time_by(in_week(media, start, end, "started_at"), track)
+    return _time_by(distinct_rows(in_week(media, start, end, "started_at")), track)
 
 
 def weekly_total(df: DataFrame, start: dt.date | str, end: dt.date | str | None = None) -> DataFrame:
-    """One row: seconds in a range of days."""
-    return in_week(df, start, end, "started_at").agg(
+    """One row: seconds in a range of days, exact duplicates counted once as in the daily sums."""
+    return distinct_rows(in_week(df, start, end, "started_at")).agg(
         F.coalesce(F.sum("duration_seconds"), F.lit(0)).alias("total_seconds"))
 
 
@@ -166,7 +166,7 @@ def weekly_report(facts: dict[str, DataFrame], start: dt.date | str, rules: Data
                          value.cast("double").alias("value"))
 
     seconds = F.col("total_seconds")
-    per_day = in_week(facts["app_usage"], start, end, "started_at").groupBy(
+    per_day = distinct_rows(in_week(facts["app_usage"], start, end, "started_at")).groupBy(
         F.col("started_at").cast("date").alias("day")).agg(F.sum("duration_seconds").alias("_seconds")).rollup(
         "day").agg(F.sum("_seconds").alias("total_seconds"), F.grouping("day").alias("_all"))
     names = reduce(lambda a, b: a.unionByName(b), [
