@@ -123,11 +123,12 @@ def structured_line(df: DataFrame) -> Column:
         F.when(F.col("category") == "APP", F.col("source")).alias("process_name"),
         F.when(F.col("category") == "APP", F.col("window")).alias("window_title"),
         F.when(F.col("category") == "WEB", F.col("source")).alias("browser"),
-        F.when(F.col("category") == "WEB", F.col("item")).alias("domain"),
+        F.when(F.col("category") == "OTHER", F.col("source")).alias("source"),
+        F.when(F.col("category").isin("WEB", "OTHER"), F.col("item")).alias("domain"),
         F.when(F.col("category") == "WEB", F.col("window")).alias("page_title"),
         "url",
         F.when(F.col("category") == "MEDIA", F.col("source")).alias("source_app"),
-        F.when(F.col("category") == "MEDIA", F.col("window")).alias("title"),
+        F.when(F.col("category").isin("MEDIA", "OTHER"), F.col("window")).alias("title"),
         F.when(F.col("category") == "MEDIA",
                F.nullif(F.expr("substring(item, length(window) + 4)"), F.lit(""))).alias("artist"),
         log_timestamp(F.col("timestamp")).alias("ended_at"))

@@ -12,8 +12,10 @@ from daytrail.operators.unified import daily_rows
 from daytrail.operators.validation import whole_number
 from daytrail.plans.reports import usage_export_rows
 from daytrail.schemas import DAILY_CSV_COLUMNS, FACT_COLUMNS
+from daytrail.sources.tables import table_exists
 
 CSV = {"header": "true", "escape": '"', "emptyValue": ""}
+READ_CSV = CSV | {"multiLine": "true"}  # a title may hold line breaks
 
 
 def _clock_text(ts: Column) -> Column:
@@ -37,10 +39,17 @@ def export_usage_csv(df: DataFrame, kind: str, as_of: dt.datetime | str, out: st
 
 
 def read_fact_logs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Fact tables of a folder with one CSV file or folder per table; times and durations parsed."""
-    return {table: typed_facts(
-        spark.read.options(**CSV).schema(", ".join(f"{c} STRING" for c in columns)).csv(f"{path}/{table}.csv"))
-        for table, columns in FACT_COLUMNS.items()}
+    """Fact tables of a folder with one CSV file or folder per table; times and durations parsed.
+
+    A table without a file has no rows.
+    """
+    def read(table: str, columns: list[str]) -> DataFrame:
+        schema, file = ", ".join(f"{c} STRING" for c in columns), f"{path}/{table}.csv"
+        if not table_exists(spark, file):
+            return spark.createDataFrame([], schema)
+        return spark.read.options(**READ_CSV).schema(schema).csv(file)
+
+    return {table: typed_facts(read(table, columns)) for table, columns in FACT_COLUMNS.items()}
 
 
 def typed_facts(df: DataFrame) -> DataFrame:
@@ -79,5 +88,5 @@ def export_all_days(df: DataFrame, out: str) -> None:
 
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily CSV rows as text, one file or a folder of days."""
-    return spark.read.options(**CSV).option("recursiveFileLookup", "true").schema(
+    return spark.read.options(**READ_CSV).option("recursiveFileLookup", "true").schema(
         ", ".join(f"{c} STRING" for c in DAILY_CSV_COLUMNS)).csv(path)

@@ -14,8 +14,7 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
 
     `malformed` marks a line that is no JSON object. `raw_line` is the line itself.
     """
-    text = F.trim("value")
-    parsed = lines.where(text != "").select(
+    parsed = lines.where(F.col("value").rlike(r"[^\s]")).select(
         F.col("value").alias("raw_line"),
         F.from_json("value", RAW_DDL + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}).alias("_e"))
     malformed = F.col("_e").isNull() | F.col("_e._corrupt").isNotNull() | ~F.trim("raw_line").startswith("{")

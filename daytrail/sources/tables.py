@@ -57,16 +57,10 @@ def new_rows(batch: DataFrame, table: DataFrame) -> DataFrame:
     return dedupe_events(batch, keys, ["created_at"]).join(table.select(*keys).distinct(), keys, "left_anti")
 
 
-def touched_days(df: DataFrame, table: DataFrame, most: int = 1000) -> DataFrame:
-    """The table's partitions of the days in `df`: at most one value per calendar day is fetched,
-    and beyond `most` of them only the first and the last day bound the scan."""
-    days = df.select("event_date").distinct()
-    first, last, n = days.agg(F.min("event_date"), F.max("event_date"), F.count("event_date")).first()
-    if n == 0:
-        return table.where(F.lit(False))
-    if n > most:
-        return table.where(F.col("event_date").between(first, last))
-    return table.where(F.col("event_date").isin([r[0] for r in days.collect()]))
+def touched_days(df: DataFrame, table: DataFrame) -> DataFrame:
+    """The table's partitions from the first to the last day in `df`."""
+    first, last = df.agg(F.min("event_date"), F.max("event_date")).first()
+    return table.where(F.lit(False) if first is None else F.col("event_date").between(date_lit(first), date_lit(last)))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -74,8 +68,8 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system, if it is there."""
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared file system, if it is there."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
@@ -121,16 +115,24 @@ def check_table_schema(spark: SparkSession, actual: DataFrame | None, expected_d
 
 
 def archive_week(spark: SparkSession, path: str, archive: str, week_start: dt.date | str) -> None:
-    """Move a week's partitions to `archive/week=<start>`; the rest of the table is not touched.
+    """Move a week's rows to `archive/week=<start>`; the rest of the table is not touched.
 
-    Only the archive partitions of days still in the table are overwritten, so that a job that was
-    cut off, even between two deletions, can run again.
+    Rows the archive lacks are appended to it, and then the files that were read are deleted, no others. So
+    a week with late rows can be archived again, and so can one whose job was cut off at any point.
     """
     start = dt.date.fromisoformat(str(week_start))
-    days = [start + dt.timedelta(days=i) for i in range(7)]
-    week = read_usage_events(spark, path).where(
-        F.col("event_date").between(date_lit(days[0]), date_lit(days[-1])))
-    week.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(
-        f"{archive}/week={start.isoformat()}")
-    for day in days:
-        remove_folder(spark, f"{path}/event_date={day.isoformat()}")
+    target = f"{archive}/week={start.isoformat()}"
+    days = [f"{path}/event_date={start + dt.timedelta(days=i)}" for i in range(7)]
+    days = [day for day in days if table_exists(spark, day)]
+    if not days:
+        return
+    files = spark.read.schema(EVENTS_DDL).option("basePath", path).parquet(*days).inputFiles()
+    if not files:
+        return
+    rows = spark.read.schema(EVENTS_DDL).option("basePath", path).parquet(*files)
+    if table_exists(spark, target):
+        known = read_usage_events(spark, target).select("event_date", "event_key").distinct()
+        rows = rows.join(known, ["event_date", "event_key"], "left_anti")
+    _append(rows.select(*read_usage_events(spark, path).columns), target)
+    for file in files:
+        remove_path(spark, file)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from daytrail.operators.ordered import HOT_ROWS
 from daytrail.operators.sequence import SIGNATURE, WINDOW, changed_only
-from daytrail.sources.tables import remove_folder, table_exists
+from daytrail.sources.tables import remove_path, table_exists
 
 
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -84,7 +84,7 @@ def changed_only_stream(df: DataFrame, out: str, state: str, checkpoint: str,
             newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")
             rows.groupBy(*keys).agg(newest).select("_row.*").write.mode("overwrite").parquet(
                 f"{state}/batch={batch_id}")
-            remove_folder(spark, f"{state}/batch={batch_id - 2}")  # no batch can need it again
+            remove_path(spark, f"{state}/batch={batch_id - 2}")  # no batch can need it again
         finally:
             rows.unpersist()
 

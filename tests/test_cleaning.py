@@ -192,5 +192,21 @@ def test_archive_week_can_run_again(spark, tmp_path):
     assert tables.read_usage_events(spark, archive + "/week=2026-03-16").count() == 7
 
 
+def test_archive_keeps_late_rows(spark, parse, tmp_path):
+    path, archive, at = str(tmp_path / "t"), str(tmp_path / "a"), timestamp_lit(NOW)
+    def load(*rows):
+        tables.upsert_events(ingest.clean_lines(parse(*rows), at)[0], path, at)
+        tables.archive_week(spark, path, archive, "2026-04-20")
+    load(APP, WEB, dict(APP, timestamp="2026-04-28T10:00:00"))
+    load(dict(APP, window_title="late"), APP)  # one row is new, one was archived before
+    assert tables.read_usage_events(spark, archive + "/week=2026-04-20").count() == 3
+    assert tables.read_usage_events(spark, path).count() == 1
+
+
+def test_blank_lines_are_no_rejects(spark):
+    got = lines.parse_event_lines(spark.createDataFrame([("\t",), (" ",), ("",), ("x",)], "value STRING")).collect()
+    assert [(r.raw_line, r.malformed) for r in got] == [("x", True)]
+
+
 def test_raw_fields_are_text():
     assert "timestamp" in RAW_FIELDS and len(RAW_FIELDS) == 10

@@ -235,11 +235,20 @@ def test_volume_and_inventory(spark, tmp_path):
 
 
 def test_fact_files(spark, day_facts, tmp_path):
-    files.write_fact_logs(day_facts, str(tmp_path))
-    back = files.read_fact_logs(spark, str(tmp_path)) if (tmp_path / "media_track_change.csv").exists() else None
-    assert back is None
-    df = spark.read.options(**files.CSV).csv(str(tmp_path / "app_usage.csv"))
-    assert df.columns == unified.FACT_COLUMNS["app_usage"] and df.count() == 3
+    two_lines = day_facts["app_usage"].withColumn("window_title", F.lit('a "b"\r\nc'))
+    files.write_fact_logs({"app_usage": two_lines}, str(tmp_path))
+    back = files.read_fact_logs(spark, str(tmp_path))
+    assert back["app_usage"].columns == unified.FACT_COLUMNS["app_usage"] and back["app_usage"].count() == 3
+    assert {r.window_title for r in back["app_usage"].collect()} == {'a "b"\r\nc'}
+    assert all(back[t].isEmpty() and back[t].columns == c for t, c in unified.FACT_COLUMNS.items() if t != "app_usage")
+
+
+def test_other_events_keep_their_fields(spark):
+    rows = unified.normalize_event(spark.createDataFrame(
+        [("WEEKLY_RESET", "job", "host.example", "done", "2026-03-18T10:00:00", "5")],
+        "event_type STRING, source STRING, domain STRING, title STRING, ended_at STRING, duration_seconds STRING"))
+    back = unified.normalize_event(unified.parse_log_lines(rows.select(unified.structured_line(rows).alias("value"))))
+    assert back.select(*rows.columns).collect() == rows.collect()
 
 
 class FakeSession:
