@@ -99,14 +99,32 @@ def loaded_table(spark, sf) -> str:
 
 @query("load_events", needs=("usage_events",), ctes=_EVENT_ROWS, sql=f"SELECT {_KEYED} FROM event_rows")
 def _(spark, sf):
-    return tables.read_usage_events(spark, loaded_table(spark, sf)).drop("created_at")
+    return tables.read_usage_events(spark, loaded_table(spark, sf)).drop("created_at", "id", "user_id")
+
+
+_TWO_USERS = """two_users AS (SELECT id, user_id, * EXCLUDE (id, user_id) FROM usage_events
+  UNION ALL SELECT id + 1000000000, user_id + 1000000000, * EXCLUDE (id, user_id) FROM usage_events)"""
+
+
+@query("upsert_events_users", needs=("usage_events",), ctes=_TWO_USERS, sql=f"""
+SELECT {duck.usage_key()} AS event_key, type, app_name, window_title, url, title, timestamp, duration_seconds, id, user_id,
+  CAST(timestamp AS DATE) AS event_date FROM two_users""")
+def _(spark, sf):
+    """Every event is there for two users, with all columns; loading them again changes nothing."""
+    path, at = scratch_dir(spark, "events"), timeparts.timestamp_lit(AS_OF)
+    events = bind(spark, sf, "usage_events")
+    both = events.unionByName(events.withColumns({c: F.col(c) + 1_000_000_000 for c in ("id", "user_id")}))
+    tables.upsert_events(events, path, at)
+    for _ in range(2):
+        tables.upsert_events(both, path, at)
+    return tables.read_usage_events(spark, path).drop("created_at")
 
 
 @query("read_usage_events", needs=("usage_events",), ctes=_EVENT_ROWS,
        sql=f"SELECT {_KEYED} FROM event_rows WHERE type = 'web' AND timestamp >= TIMESTAMP '2024-01-20 12:00:00'")
 def _(spark, sf):
     return tables.read_usage_events(
-        spark, loaded_table(spark, sf), "web", "2024-01-20 12:00:00").drop("created_at")
+        spark, loaded_table(spark, sf), "web", "2024-01-20 12:00:00").drop("created_at", "id", "user_id")
 
 
 @query("write_rejects", needs=("raw_events",), ctes=duck.VALIDATED,

@@ -38,7 +38,7 @@ def _(spark, sf):
     for _ in range(2):  # the same lines again change nothing
         text.write.mode("append").text(src)
         ingest.ingest_stream(spark, src, f"{out}/events", f"{out}/rejects", f"{out}/checkpoint", AS_OF).awaitTermination()
-    return tables.read_usage_events(spark, f"{out}/events").drop("created_at")
+    return tables.read_usage_events(spark, f"{out}/events").drop("created_at", "id", "user_id")  # lines have neither
 
 
 @query("stream_event_lines", needs=("raw_events",), sql="""

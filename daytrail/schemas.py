@@ -13,9 +13,13 @@ RAW_DDL = ", ".join(f"{name} STRING" for name in RAW_FIELDS)
 EVENTS_DDL = (
     "event_key STRING, type STRING, app_name STRING, window_title STRING, url STRING, "
     "title STRING, timestamp TIMESTAMP_NTZ, duration_seconds INT, created_at TIMESTAMP_NTZ, "
-    "event_date DATE"
+    "id LONG, user_id LONG, event_date DATE"
 )
 EVENT_COLUMNS = ["type", "app_name", "window_title", "url", "title", "timestamp", "duration_seconds"]
+# Columns that frames may lack, as lines of a single user's feed do.
+OWNER_COLUMNS = {"id": "long", "user_id": "long"}
+# What tells rows of the table apart: `event_key` covers an event's fields, and two users may have equal ones.
+EVENT_IDENTITY = ["event_date", "user_id", "event_key"]
 
 # The fact tables' file columns.
 FACT_COLUMNS = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daytrail.functions.timeparts import date_lit, log_timestamp, timestamp_lit
 from daytrail.operators.sequence import dedupe_events
 from daytrail.operators.unified import KEY_SEPARATOR
-from daytrail.schemas import EVENT_COLUMNS, EVENTS_DDL
+from daytrail.schemas import EVENT_COLUMNS, EVENT_IDENTITY, EVENTS_DDL, OWNER_COLUMNS
 
 
 def read_usage_events(spark: SparkSession, path: str, event_type: str | None = None,
@@ -27,15 +27,16 @@ def read_usage_events(spark: SparkSession, path: str, event_type: str | None = N
 
 
 def usage_key() -> Column:
-    """Idempotency key of an events row."""
+    """Idempotency key of an events row among those of its user."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EVENT_COLUMNS if c != "timestamp"]
     return F.md5(F.concat_ws(KEY_SEPARATOR, log_timestamp(F.col("timestamp")), *fields))
 
 
 def table_rows(df: DataFrame, ingest_time: Column) -> DataFrame:
-    """Loadable events as rows of the table."""
+    """Loadable events as rows of the table; `id` and `user_id` are null where the frame has none."""
+    owner = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in OWNER_COLUMNS.items()]
     return df.select(
-        usage_key().alias("event_key"), *EVENT_COLUMNS, ingest_time.alias("created_at"),
+        usage_key().alias("event_key"), *EVENT_COLUMNS, ingest_time.alias("created_at"), *owner,
         F.col("timestamp").cast("date").alias("event_date"))
 
 
@@ -53,8 +54,14 @@ def _append(rows: DataFrame, path: str) -> None:
 
 def new_rows(batch: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of a batch the table does not have, each once."""
-    keys = ["event_date", "event_key"]  # one partitioning for the ranking, the known keys and the join
-    return dedupe_events(batch, keys, ["created_at"]).join(table.select(*keys).distinct(), keys, "left_anti")
+    # One partitioning for the ranking, the known keys and the join.
+    return unknown_rows(dedupe_events(batch, EVENT_IDENTITY, ["created_at", "id"]), table)
+
+
+def unknown_rows(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows the table does not have. A missing user is one user."""
+    known = table.select(*[F.col(c).alias(f"_{c}") for c in EVENT_IDENTITY]).distinct()
+    return rows.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in EVENT_IDENTITY], "left_anti")
 
 
 def touched_days(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def upsert_events(df: DataFrame, path: str, ingest_time: Column) -> None:
     if table_exists(spark, path):
         rows = new_rows(rows, touched_days(rows, read_usage_events(spark, path)))
     else:
-        rows = dedupe_events(rows, ["event_key"], ["created_at"])
+        rows = dedupe_events(rows, EVENT_IDENTITY, ["created_at", "id"])
     _append(rows, path)
 
 
@@ -131,8 +138,7 @@ def archive_week(spark: SparkSession, path: str, archive: str, week_start: dt.da
         return
     rows = spark.read.schema(EVENTS_DDL).option("basePath", path).parquet(*files)
     if table_exists(spark, target):
-        known = read_usage_events(spark, target).select("event_date", "event_key").distinct()
-        rows = rows.join(known, ["event_date", "event_key"], "left_anti")
+        rows = unknown_rows(rows, read_usage_events(spark, target))
     _append(rows.select(*read_usage_events(spark, path).columns), target)
     for file in files:
         remove_path(spark, file)
