@@ -1,8 +1,8 @@
 """WARC archives: written with revisits for equal payloads, read back in parallel from any byte range.
 
 Writing. Rows with equal payloads of at least `least` bytes share the one with the largest id; the others become revisit
-records without payload. The payloads stay where they are: only digests are shuffled, and only the revisits' ids
-are joined back.
+records without payload. Digests are shuffled to find them, and the revisits' ids and digests are joined back, so that
+an id with several payloads has a record of its own for each.
 
 Reading. A record says how long it is, but a range of a file may begin anywhere, and a payload may
 hold what looks like a record. So each task emits, for every candidate start in its range, where the chain of records
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytrail.llm.common import stored
@@ -37,14 +37,17 @@ DATE = "2024-01-01T00:00:00Z"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 
 
+def _body() -> Column:
+    return F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+
+
 def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """(id, refers): rows whose payload another row with a larger id has too."""
-    body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    keys = pages.select(F.col("page_id").alias("id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes"))
+    """(id, digest, refers): rows whose payload another row with a larger id has too."""
+    keys = pages.select(F.col("page_id").cast("long").alias("id"), F.sha1(_body()).alias("digest"), F.octet_length(_body()).alias("bytes"))
     keys = stored(keys.filter(F.col("id").isNotNull() & (F.col("bytes") >= least)), "digests")
     shared = keys.groupBy("digest").agg(F.max("id").alias("refers"), F.min("id").alias("low")).filter("low < refers")
     found = keys.join(stored(shared.select("digest", "refers"), "shared"), "digest").filter("id < refers")
-    return stored(found.select("id", "refers").distinct(), "revisits")
+    return stored(found.select("id", "digest", "refers").distinct(), "revisits")
 
 
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -96,8 +99,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
         yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("bytes", pa.int64())]))
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.col("html").cast("string").alias("html"))
-    named = rows.join(gone.withColumnRenamed("id", "__id"), F.col("page_id") == F.col("__id"), "left").drop("__id")
+                        F.col("html").cast("string").alias("html"), F.sha1(_body()).alias("digest"))
+    same = (F.col("page_id") == F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    named = rows.join(gone.withColumnsRenamed({"id": "__id", "digest": "__digest"}), same, "left").drop("__id", "__digest", "digest")
     return stored(named.mapInArrow(write, "path STRING, bytes LONG"), "archives")
 
 
