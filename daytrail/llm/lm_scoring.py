@@ -5,9 +5,10 @@ probability given the bytes before it is (count + strength / 256) / (count of th
 is counted on documents labelled good and not toxic, the background model on all documents. A document's score is
 the mean over its tokens of background loss minus target loss, in bits: the higher, the more like the target.
 
-Counting: each task counts its texts' n-grams, and the counts are summed by n-gram. Scoring: documents are dealt into blocks of
-bounded size; a block's distinct n-grams meet the models by a join, and go, two losses an n-gram, to the block's texts.
-So neither model is ever held in one place.
+Texts are cut into slices of bounded bytes, each behind the bytes its first n-grams look back on, and neighbouring slices are
+dealt into blocks of bounded bytes. Counting: each task counts its slices' n-grams, and the counts are summed by n-gram.
+Scoring: a block's distinct n-grams meet the models by a join, and go, two losses an n-gram, to the block's slices, whose
+sums are added by document in their order. So neither a model nor a long text's losses are ever held in one place.
 
 Rules: a null or empty text has no tokens and the score null. Labels with a null id or value count for nothing; an id with any
 good and non-toxic label is in the target. Every row is scored by itself. Without target documents all target losses are 8 bits.
@@ -15,70 +16,103 @@ good and non-toxic label is in the target. Every row is scored by itself. Withou
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytrail.llm.common import addressed, rereadable, stored
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
+BLOCK_BYTES = 8_000_000
+ROW_BYTES = 64  # what a slice costs besides its text
 
 
 @dataclass(frozen=True)
 class Model:
-    """`order`: bytes of an n-gram, 4 at most, so that its number is exact."""
+    """`order`: bytes of an n-gram, 8 at most, so that its number is exact."""
 
     order: int = 4
     strength: float = 32.0
-    block_rows: int = 2048
 
 
-def grams(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(number of each byte's n-gram, in order; tokens of each text). Texts begin behind zero bytes."""
-    texts = pc.fill_null(texts.cast(pa.string()), "").cast(pa.binary())
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+def pieces(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, file, row, slice, good, lead, bytes, block): the texts' slices; the first `lead` bytes belong to the slice before."""
+    good = labels.filter("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select(F.col("doc_id").alias("__good")).distinct()
+    rows = addressed(rereadable(docs))
+    rows = rows.join(good, rows["doc_id"] == F.col("__good"), "left").select(
+        rows["doc_id"].cast("long").alias("doc_id"), "__file", "__row", F.col("__good").isNotNull().alias("good"), rows["text"].cast("string").alias("text"))
+    slice_bytes, block_bytes = SLICE_BYTES, BLOCK_BYTES
+    schema = pa.schema([("doc_id", pa.int64()), ("__file", pa.int64()), ("__row", pa.int64()), ("slice", pa.int64()), ("good", pa.bool_()),
+                        ("lead", pa.int64()), ("bytes", pa.binary()), ("block", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, out, size = 0, block_bytes, [], 0
+        for batch in batches:
+            texts = pc.fill_null(batch["text"].cast(pa.string()), "").cast(pa.binary())
+            own = zip(*(batch[c].to_pylist() for c in ("doc_id", "__file", "__row", "good")), strict=True)
+            for i, (doc_id, file, row, good) in enumerate(own):
+                text = texts[i].as_py()
+                for k, start in enumerate(range(0, max(len(text), 1), slice_bytes)):
+                    lead = min(start, model.order - 1)
+                    part = text[start - lead:start + slice_bytes]
+                    cost = len(part) + ROW_BYTES
+                    if held + cost > block_bytes:
+                        block, held = xxhash.xxh3_64_intdigest(struct.pack("<qqq", file, row, k)) - (1 << 63), 0
+                    held += cost
+                    size += cost
+                    out.append((doc_id, file, row, k, good, lead, part, block))
+                    if size > block_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return stored(rows.mapInArrow(cut, "doc_id LONG, __file LONG, __row LONG, slice LONG, good BOOLEAN, lead LONG, bytes BINARY, block LONG"), "pieces")
+
+
+def grams(parts: pa.Array, leads: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of each byte's n-gram, in order; tokens of each slice). Texts begin behind zero bytes."""
+    sizes = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     upto = np.cumsum(sizes)
     at = 0
-    while at < len(texts):
+    while at < len(parts):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
         own = sizes[at:to]
-        data = np.frombuffer(b"".join(texts.slice(at, to - at).to_pylist()), np.uint8)
+        data = np.frombuffer(b"".join(parts.slice(at, to - at).to_pylist()), np.uint8)
         place = np.arange(len(data)) - np.repeat(np.cumsum(own) - own, own)
-        number = data.astype(np.uint32)
+        number = data.astype(np.uint64)
         for k in range(1, order):
-            before = np.zeros(len(data), np.uint32)
+            before = np.zeros(len(data), np.uint64)
             before[k:] = data[:-k] if k < len(data) else 0
             before[place < k] = 0
-            number |= before << np.uint32(8 * k)
-        yield number, own
+            number |= before << np.uint64(8 * k)
+        yield number[place >= np.repeat(leads[at:to], own)].view(np.int64), own - leads[at:to]
         at = to
 
 
-def losses(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
-    """(gram, target_loss, background_loss) in bits, of every n-gram of the documents."""
-    good = labels.filter("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select(F.col("doc_id").alias("__good")).distinct()
-    rows = docs.join(good, docs["doc_id"] == F.col("__good"), "left").select(
-        docs["text"].cast("string").alias("text"), F.col("__good").isNotNull().alias("good"))
-
+def losses(rows: DataFrame, model: Model) -> DataFrame:
+    """(gram, target_loss, background_loss) in bits, of every n-gram of the slices."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, at = batch["good"].to_numpy(zero_copy_only=False), 0
-            for number, own in grams(batch["text"], model.order):
+            for number, own in grams(batch["bytes"], batch["lead"].to_numpy(), model.order):
                 target = np.repeat(good[at:at + len(own)], own)
                 at += len(own)
                 found, n = np.unique(number, return_counts=True)
                 wanted, m = np.unique(number[target], return_counts=True)
                 both = np.zeros(len(found), np.int64)
                 both[np.searchsorted(found, wanted)] = m
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(both), pa.array(n)], ["gram", "target", "all_"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(both), pa.array(n)], ["gram", "target", "all_"])
 
-    counts = rows.mapInArrow(count, "gram LONG, target LONG, all_ LONG").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("all_").alias("all_"))
-    counts = stored(counts.withColumn("context", F.floor(F.col("gram") / 256)), "grams")
+    counts = rows.select("good", "lead", "bytes").mapInArrow(count, "gram LONG, target LONG, all_ LONG").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("all_").alias("all_"))
+    counts = stored(counts.withColumn("context", F.shiftrightunsigned("gram", 8)), "grams")
     contexts = counts.groupBy("context").agg(F.sum("target").alias("target_context"), F.sum("all_").alias("all_context"))
 
     def loss(n: str, total: str) -> Column:
@@ -90,35 +124,46 @@ def losses(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
 
 def scores(docs: DataFrame, labels: DataFrame, model: Model = Model()) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score), losses in bits a token."""
-    table = stored(losses(docs, labels, model), "gram-losses")
-    block = F.xxhash64("__file", F.floor(F.col("__row") / model.block_rows))
-    rows = addressed(rereadable(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"))
+    rows = pieces(docs, labels, model)
+    table = stored(losses(rows, model), "gram-losses")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = batch["block"].to_numpy()
             for b in np.unique(blocks).tolist():
-                found = [np.unique(number) for number, _ in grams(batch["text"].filter(pa.array(blocks == b)), model.order)]
-                each = np.unique(np.concatenate(found)).astype(np.int64)
+                own = pa.array(blocks == b)
+                found = [np.unique(number) for number, _ in grams(batch["bytes"].filter(own), batch["lead"].filter(own).to_numpy(), model.order)]
+                each = np.unique(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), b)), pa.array(each)], ["block", "gram"])
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def score(parts: pa.Table, known: pa.Table) -> pa.Table:
         order = np.argsort(known["gram"].to_numpy())
-        ids, lost = known["gram"].to_numpy()[order].astype(np.uint32), [known[c].to_numpy()[order] for c in ("target_loss", "background_loss")]
+        ids, lost = known["gram"].to_numpy()[order], [known[c].to_numpy()[order] for c in ("target_loss", "background_loss")]
         sums: list[list[np.ndarray]] = [[], [], []]
-        for chunk in texts["text"].chunks:
-            for number, own in grams(chunk, model.order):
+        parts = parts.combine_chunks()
+        for chunk in parts.to_batches():
+            for number, own in grams(chunk["bytes"], chunk["lead"].to_numpy(), model.order):
                 at, ends = np.searchsorted(ids, number), np.cumsum(own)
                 sums[0].append(own)
                 for k, values in enumerate(lost):
                     total = np.concatenate(([0.0], np.cumsum(values[at]) if len(at) else []))
                     sums[k + 1].append(total[ends] - total[ends - own])
         n, target, background = (np.concatenate(x) if x else np.zeros(0) for x in sums)
-        some = np.maximum(n, 1)
-        mean = [pa.array(x / some, mask=n == 0) for x in (target, background, background - target)]
-        return pa.table([texts["doc_id"], pa.array(n.astype(np.int64)), *mean], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    # A block may come in several batches; its n-grams then come several times.
-    needed = rows.select("block", "text").mapInArrow(distinct, "block LONG, gram LONG").distinct().join(table, "gram")
-    return rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(
-        score, "doc_id LONG, n_tokens LONG, target_loss DOUBLE, background_loss DOUBLE, score DOUBLE")
+        return pa.table([parts["doc_id"], parts["__file"], parts["__row"], parts["slice"], pa.array(n.astype(np.int64)), pa.array(target),
+                         pa.array(background)], ["doc_id", "__file", "__row", "slice", "n", "target", "background"])
+
+    # A block may come in several batches; its n-grams then come several times, of which the first found serves.
+    needed = rows.select("block", "lead", "bytes").mapInArrow(distinct, "block LONG, gram LONG").join(table, "gram")
+    sums = rows.drop("good").groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(
+        score, "doc_id LONG, __file LONG, __row LONG, slice LONG, n LONG, target DOUBLE, background DOUBLE")
+    slices = F.sort_array(F.collect_list(F.struct("slice", "n", "target", "background")))
+    whole = sums.groupBy("__file", "__row").agg(F.first("doc_id").alias("doc_id"), slices.alias("s"))
+
+    def added(name: str, zero: Column) -> Column:
+        return F.aggregate(F.col(f"s.{name}"), zero, lambda x, y: x + y)
+
+    whole = whole.select("doc_id", added("n", F.lit(0).cast("long")).alias("n_tokens"), *[
+        added(c, F.lit(0.0)).alias(c) for c in ("target", "background")])
+    some = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", (F.col("target") / some).alias("target_loss"), (F.col("background") / some).alias("background_loss"),
+                        ((F.col("background") - F.col("target")) / some).alias("score"))

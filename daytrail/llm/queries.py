@@ -50,7 +50,7 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm_scoring.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lm_scoring.Model(order=6))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
