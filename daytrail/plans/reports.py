@@ -11,6 +11,7 @@ from daytrail.functions.privacy import csv_safe
 from daytrail.functions.timeparts import epoch_us
 from daytrail.operators.filters import by_type, within_days
 from daytrail.operators.lifecycle import RETENTION_DAYS
+from daytrail.session import scratch_dir
 
 
 def _seconds() -> Column:
@@ -88,6 +89,49 @@ def usage_export_rows(df: DataFrame, kind: str, as_of: dt.datetime | str,
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 _BAND = 0.001  # width of a value band in log scale: some 710 000 bands span every double
 _BAND_SHIFT = 1_000_000  # keeps the bands of positive values positive
+_ENDS = {"-inf": -3_000_000, "inf": 3_000_000, "nan": 4_000_000}  # bands of values without a logarithm, in Spark's order
+_CELL_VALUES = 100_000  # distinct values that one task sorts
+_CUTS, _ROUNDS = 1024, 6  # a band's doubles are told apart by 1024 ** 5 cuts
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _order_free_sum(x: Column) -> Column:
+    """Sum of doubles. Where the largest is of usual size it is one of decimals, a coarse one and one of what that leaves, so
+    that the order in which tasks finish does not show; else, also with values that are not finite, one of doubles."""
+    usual = F.abs(x) < 1e18
+    coarse = x.cast("decimal(28,6)")
+    rest = (x - coarse.cast("double")).cast("decimal(38,28)")
+    exact = F.sum(F.when(usual, coarse)).cast("double") + F.sum(F.when(usual, rest)).cast("double")
+    return F.when((F.max(F.abs(x)) < 1e18) & (F.max(F.abs(x)) >= 1e-12), exact).otherwise(F.sum(x))
+
+
+def _narrowed(values: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut cells of more than `_CELL_VALUES` distinct values by value until none is left; only the cells wanted stay.
+
+    `values`: (group_key, _band, _cell, _v, _n). `wanted`: (group_key, _band, _cell, name, _rank).
+    """
+    cell = ["group_key", "_band", "_cell"]
+    for _ in range(_ROUNDS):
+        size = values.groupBy(*cell).agg(F.count("*").alias("_c"), F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
+        if size.where(F.col("_c") > _CELL_VALUES).isEmpty():
+            break
+        share = F.coalesce(F.try_divide(F.col("_v").cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+        cut = values.join(size.drop("_c"), cell).withColumn(
+            "_cell", F.col("_cell") * _CUTS + F.least(F.floor(share * _CUTS), F.lit(_CUTS - 1)).cast("long")).drop("_lo", "_hi")
+        of = Window.partitionBy("group_key", "_band", "_outer").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        cells = cut.groupBy(*cell).agg(F.sum("_n").alias("_m")).withColumn("_outer", F.floor(F.col("_cell") / _CUTS).cast("long"))
+        cells = cells.withColumn("_to", F.sum("_m").over(of)).withColumn("_from", F.col("_to") - F.col("_m"))
+        outer = wanted.withColumnRenamed("_cell", "_outer")
+        wanted = _kept(cells.join(outer, ["group_key", "_band", "_outer"]).where(
+            (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(
+            *cell, "name", (F.col("_rank") - F.col("_from")).alias("_rank")), "wanted")
+        values = _kept(cut.join(wanted.select(*cell).distinct(), cell, "left_semi"), "values")
+    return values, wanted
 
 
 def latency_stats(df: DataFrame, value: str, ts: str, by: str | None = None, error: str | None = None
@@ -96,13 +140,16 @@ def latency_stats(df: DataFrame, value: str, ts: str, by: str | None = None, err
 
     The rows of a group never meet in one task. A first count per value band, of which a group
     has a bounded number, finds the band each percentile is in; only those bands are counted by
-    value.
+    value, and cut further where they hold many. Infinite values and NaN count as Spark orders them.
     """
     key = F.col(by) if by else F.lit("all")
     rows = df.select(key.alias("group_key"), F.col(value).alias("_v"), F.col(ts).alias("_ts"),
                      (F.col(error) if error else F.lit(False)).alias("_e"))
     v = F.col("_v")
-    band = F.when(v == 0, F.lit(0)).otherwise(
+    band = F.when(v == 0, F.lit(0))
+    for end, number in _ENDS.items():
+        band = band.when(v.cast("double") == float(end), F.lit(number))
+    band = band.otherwise(
         F.signum(v) * (F.floor(F.log(F.abs(v)) / _BAND) + _BAND_SHIFT)).cast("long")
     banded = rows.where(v.isNotNull()).withColumn("_band", band)
     bands = banded.groupBy("group_key", "_band").agg(F.count("*").alias("_n"))
@@ -118,18 +165,20 @@ def latency_stats(df: DataFrame, value: str, ts: str, by: str | None = None, err
     hit = targets.where((F.col("_p.index") >= F.col("_before"))
                         & (F.col("_p.index") < F.col("_before") + F.col("_n")))
     wanted = hit.select("group_key", "_band", "_p.name", (F.col("_p.index") - F.col("_before")).alias("_rank"))
+    wanted = wanted.withColumn("_cell", F.lit(0).cast("long"))
     per_value = banded.join(wanted.select("group_key", "_band").distinct(), ["group_key", "_band"], "left_semi"
                             ).groupBy("group_key", "_band", "_v").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("group_key", "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    per_value = per_value.withColumn("_cell", F.lit(0).cast("long"))
+    per_value, wanted = _narrowed(_kept(per_value, "values"), _kept(wanted, "wanted"))
+    upto = Window.partitionBy("group_key", "_band", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = per_value.withColumn("_upto", F.sum("_n").over(upto))
-    found = ranked.join(wanted, ["group_key", "_band"]).where(
+    found = ranked.join(wanted, ["group_key", "_band", "_cell"]).where(
         (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
     quantiles = found.groupBy("group_key").agg(
         *[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in PERCENTILES])
     overall = rows.groupBy("group_key").agg(
         F.count("_v").alias("operations"),
-        # Summed as decimals, so that the order in which tasks finish does not show.
-        F.sum(F.col("_v").cast("decimal(28,6)")).cast("double").alias("_sum"),
+        _order_free_sum(F.col("_v").cast("double")).alias("_sum"),
         F.max("_v").alias("max_value"),
         ((epoch_us(F.max("_ts")) - epoch_us(F.min("_ts"))) / 1_000_000).alias("total_seconds"),
         F.count_if("_e").alias("error_count"))
