@@ -8,7 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daytrail.llm import html_extraction, lm_scoring, mixing, near_dedup, packing, quality, token_binary, tool_calls, topk, warc
+from daytrail.llm import (fill_in_middle, html_extraction, lm_scoring, merkle, mixing, near_dedup, packing, quality, suffix_dedup,
+                          token_binary, tool_calls, topk, warc)
 from daytrail.llm.common import table
 from daytrail.session import scratch_dir
 
@@ -57,8 +58,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc, op3_html_extraction, op4_quality_rules, op5_top_k_search, op6_source_mixing, op7_near_dedup, op8_lm_scoring, op9_token_binary,
-    op10_chat_formatting)}
+    op10_chat_formatting, op11_fill_in_middle, op12_merkle_manifest, op13_suffix_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op5_top_k_search": topk.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op5_top_k_search": topk.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE,
+                           "op12_merkle_manifest": merkle.ORACLE, "op13_suffix_dedup": suffix_dedup.ORACLE}
