@@ -7,11 +7,12 @@ shingles) steps, and the share of equal coordinates is concentrated about the Ja
 drawn without replacement. Bands of `rows` coordinates collide: at a similarity of 0.85 two documents miss
 all 52 bands of 8 with a probability of 7e-8. One byte of each coordinate is kept to estimate similarities.
 
-Documents with equal sets are one node. Links are found among nodes, never as all pairs of a bucket:
-1. each bucket's nodes are held against one of them, the pivot, by their full sets, which joins most of a group;
-2. only buckets that still hold several components go on, and once more with another pivot;
-3. what is left there is held against each other across components, where sizes allow a link: small buckets by a join
-   that gives a row at most `small` pairs, larger ones in chunks within tasks, by sketches alone. No partner is left out.
+Documents with equal sets are one node. Links are found among nodes, never as all pairs of a bucket, and only forests of links leave a
+task; components are contracted after each step, and a step sees only buckets that still hold several components:
+1. each node is held against one other by their full sets, the least pivot of its buckets, twice; this joins most groups;
+2. then the members of each bucket come together with their full sets in chunks bounded in bytes, and each chunk keeps the components it
+   finds (union-find), comparing only nodes of different components: first each node in its largest bucket, then all buckets;
+3. at last chunks of one bucket meet in pairs, for buckets of several chunks. No partner is left out.
 Pairs go on to the full sets if their sketches' estimate is at most 5.5 standard deviations below the least similarity,
 which a true link falls short of with a probability of 2e-8; what those sets say is final.
 
@@ -36,15 +37,14 @@ from daytrail.llm.shingles import mixed_bits, shingle_sets
 
 @dataclass(frozen=True)
 class Near:
-    """`percent`: least similarity of a link in hundredths."""
+    """`percent`: least similarity of a link in hundredths. A chunk has `chunk` nodes and `shingles` shingles in the mean at most."""
 
     percent: int = 85
     width: int = 5
     rows: int = 8
     bands: int = 52
-    pivots: int = 2
-    small: int = 32
     chunk: int = 1024
+    shingles: int = 1 << 19
 
     @property
     def least_equal(self) -> int:
@@ -116,7 +116,7 @@ def sketched(docs: DataFrame, near: Near = Near()) -> DataFrame:
             pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
             ["doc_id", "__file", "__row", "n_shingles", "node", "keys", "sketch"])
 
-    own = addressed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__file", "__row")
+    own = addressed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id LONG, __file LONG, __row LONG, n_shingles LONG, node BINARY, keys ARRAY<LONG>, sketch BINARY")
 
 
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, near: Near = Near()) -> DataFr
     def rows(nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    texts = addressed(docs).select(F.col("text").cast("string").alias("text"), "__file", "__row")
+    texts = addressed(docs, F.col("text").cast("string").alias("text"))
     return texts.join(wanted, ["__file", "__row"]).select("text", "node").mapInArrow(run, "node BINARY, shingles ARRAY<LONG>")
 
 
@@ -190,31 +190,53 @@ def likely(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a BINARY, b BINARY")
 
 
-def likely_within(members: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """(a, b), perhaps repeated, of all likely pairs of different roots in the same bucket.
+def forest(table: pa.Table, percent: int, least_equal: int) -> pa.Table:
+    """Links (a, b) that join the roots of a chunk's nodes, or of two chunks' nodes; no more than there are roots less one.
 
-    `members`: (key, node, n, root, c), c the bucket's size. A bucket is dealt into chunks, and a group is two of them.
+    `table`: (node, n, root, sketch, shingles, side); nodes of sides 0 and 1 are compared across, those of side 2 with each other.
     """
-    count = F.ceil(F.col("c") / near.chunk)
-    dealt = members.join(nodes.select("node", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), count))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-
-    def compare(table: pa.Table) -> pa.Table:
-        own, low, high = (table[c].to_numpy() for c in ("own", "low", "high"))
-        names, roots = np.array(table["node"].to_pylist(), object), np.array(table["root"].to_pylist(), object)
-        n, sketch = table["n"].to_numpy(), _coordinates(table["sketch"])
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        a, b = [], []
-        for i in left.tolist():
-            fit = right[(np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * near.percent) & (roots[right] != roots[i])]
-            fit = fit[(sketch[fit] == sketch[i]).sum(axis=1) >= near.least_equal]
-            for other in names[fit]:
-                a.append(min(names[i], other)), b.append(max(names[i], other))
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return dealt.select("key", "node", "n", "root", "sketch", "own", "low", "high").groupBy("key", "low", "high").applyInArrow(
-        compare, "a BINARY, b BINARY")
+    names, roots, side = table["node"].to_pylist(), table["root"].to_pylist(), table["side"].to_numpy()
+    n, sketch = table["n"].to_numpy(), _coordinates(table["sketch"])
+    sets = table["shingles"].combine_chunks()
+    flat, begin = sets.values.to_numpy(), sets.offsets.to_numpy()
+    number: dict[bytes, int] = {}
+    component = np.array([number.setdefault(r, len(number)) for r in roots])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    a, b = [], []
+    for i in left.tolist():
+        fit = right[(component[right] != component[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
+        if side[i] == 2:
+            fit = fit[fit > i]
+        fit = fit[(sketch[fit] == sketch[i]).sum(axis=1) >= least_equal]
+        for j in fit.tolist():
+            if component[i] == component[j]:
+                continue
+            both = len(np.intersect1d(flat[begin[i]:begin[i + 1]], flat[begin[j]:begin[j + 1]], assume_unique=True))
+            if both * 100 >= percent * (n[i] + n[j] - both):
+                a.append(min(names[i], names[j])), b.append(max(names[i], names[j]))
+                component[component == component[j]] = component[i]
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def within(members: DataFrame, nodes: DataFrame, sets: DataFrame, near: Near, across: bool) -> DataFrame:
+    """Forests (a, b) of the links between roots in each chunk of each bucket, or `across` each two chunks of one bucket.
+
+    `members`: (key, node, n, root).
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    count = F.greatest(F.ceil(F.col("c") / near.chunk), F.ceil(F.col("s") / near.shingles))
+    dealt = members.join(sizes.select("key", count.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "chunks"))
+    if across:
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        dealt = dealt.filter("chunks > 1").withColumn("other", other).filter("own <> other")
+        side = F.when(F.col("own") < F.col("other"), 0).otherwise(1)
+    else:
+        dealt, side = dealt.withColumn("other", F.col("own")), F.lit(2)
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "root", side.alias("side"))
+    percent, least = near.percent, near.least_equal
+    full = dealt.join(nodes.select("node", "sketch"), "node").join(sets, "node")
+    return full.groupBy("key", "low", "high").applyInArrow(
+        lambda t: forest(t.select(["node", "n", "root", "sketch", "shingles", "side"]), percent, least), "a BINARY, b BINARY")
 
 
 def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
@@ -224,7 +246,7 @@ def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
     members = stored(members.join(stored(shared, "buckets"), "key"), "members")
     nodes = stored(members.select("node").distinct().join(nodes.drop("keys"), "node"), "shared-nodes")
     sets = stored(full_sets(docs, nodes.select("node", "__file", "__row"), near), "sets")
-    tested = links = roots = None
+    links = roots = None
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -240,32 +262,32 @@ def linked(docs: DataFrame, nodes: DataFrame, near: Near = Near()) -> DataFrame:
         several = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
         return stored(now.join(stored(several, "open-buckets"), "key"), "open-members")
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        fit = pairs.filter((F.col("p.root") != F.col("q.root")) & similar_size("p.n", "q.n", near.percent))
-        named = fit.select("key", F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-        return likely(named.select("a", "b").distinct(), nodes, near)
-
-    for step in range(near.pivots + 1):
+    def with_pivots(now: DataFrame, step: int) -> DataFrame:
+        """One pair a node: with the least pivot of its buckets that has another root and a similar size."""
+        order = lambda node: F.xxhash64(node, F.lit(step))
+        pivot = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), order("node")).alias("p"))
+        fit = now.join(pivot, "key").filter((F.col("p.root") != F.col("root")) & similar_size("p.n", "n", near.percent))
+        one = fit.groupBy("node").agg(F.min_by("p.node", order("p.node")).alias("pivot"))
+        return likely(one.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), nodes, near)
+
+    def largest(now: DataFrame) -> DataFrame:
+        """Each node in the largest of its buckets only."""
+        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        one = now.join(sizes, "key").groupBy("node").agg(F.max(F.struct("c", "key"))["key"].alias("key"))
+        return now.join(one, ["node", "key"])
+
+    steps = [lambda now: verified(stored(with_pivots(now, 0), "pairs")), lambda now: verified(stored(with_pivots(now, 1), "pairs")),
+             lambda now: within(largest(now), nodes, sets, near, False), lambda now: within(now, nodes, sets, near, False),
+             lambda now: within(now, nodes, sets, near, True)]
+    for step in steps:
         now = open_members()
         if now.isEmpty():
             break
-        one = F.struct("node", "n", "root")
-        own = now.select("key", one.alias("q"))
-        if step < near.pivots:
-            pivot = now.groupBy("key").agg(F.min_by(one, F.xxhash64("node", F.lit(step))).alias("p"))
-            pairs = ordered(own.join(pivot, "key"))
-        else:
-            sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-            now = stored(now.join(sizes, "key"), "left-members")
-            few, many = now.filter(F.col("c") <= near.small), now.filter(F.col("c") > near.small)
-            pairs = ordered(few.select("key", one.alias("q")).join(few.select("key", one.alias("p")), "key").filter("p.node < q.node"))
-            pairs = pairs.unionByName(likely_within(many, nodes, near)).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(verified(pairs), "links")
+        found = stored(step(now), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = stored(components(links), "roots")
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars, a link a node
     return nodes.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
@@ -296,6 +318,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row of each group, with its own columns: that of the smallest doc_id, and of equal ids the first."""
-    docs = rereadable(docs)
+    own, docs = docs.columns, rereadable(docs)
     gone = stored(grouped(docs, near).filter(~F.col("stays")).select("__file", "__row"), "duplicates")
-    return addressed(docs).join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
+    rows = addressed(docs, F.struct(*[docs[c] for c in own]).alias("__doc"))  # so that no name of theirs meets one of these
+    return rows.join(gone, ["__file", "__row"], "left_anti").select(*[F.col(f"__doc.`{c}`") for c in own])

@@ -357,7 +357,7 @@ def test_large_group_about_the_threshold(spark):
         for _ in range(r.randint(0, 9)):
             own[r.randrange(300)] = f"w{r.random()}"
         rows.append((i, " ".join(own)))
-    near = near_dedup.Near(small=4, chunk=16)
+    near = near_dedup.Near(chunk=16, shingles=3000)
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING"), near).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_components(rows)
 
