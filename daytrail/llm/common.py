@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,17 +53,19 @@ def with_start(df: DataFrame, group: str | None, bucket: str, order: list[str],
 def rereadable(df: DataFrame) -> DataFrame:
     """`df` if it is a plain read of files, else stored, so that its rows have addresses."""
     try:
-        return df.select("_metadata.row_index") and df
-    except AnalysisException:
+        return addressed(df, F.lit(1)) and df
+    except (AnalysisException, Py4JJavaError):
         return stored(df, "rows")
 
 
-def addressed(df: DataFrame) -> DataFrame:
-    """Add `__file` and `__row`, the place in the files of a `rereadable` frame that a row comes from.
+def addressed(df: DataFrame, *columns: Column) -> DataFrame:
+    """`columns` of a `rereadable` frame with `__file` and `__row`, the place in the files that a row comes from.
 
-    They tell every row apart, equal rows too, and stay the same when a task runs again.
+    They tell every row apart, equal rows too, and stay the same when a task runs again. The frame may have columns of these names
+    of its own, and of the name of Spark's hidden column.
     """
-    return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    place = df.metadataColumn("_metadata")
+    return df.select(*columns, F.xxhash64(place["file_path"]).alias("__file"), place["row_index"].alias("__row"))
 
 
 def numbers(df: DataFrame, count: Column, name: str, chunk: int = 1 << 16) -> DataFrame:

@@ -45,7 +45,7 @@ class Model:
 def pieces(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
     """(doc_id, file, row, slice, good, lead, bytes, block): the texts' slices; the first `lead` bytes belong to the slice before."""
     good = labels.filter("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select(F.col("doc_id").alias("__good")).distinct()
-    rows = addressed(rereadable(docs))
+    rows = addressed(rereadable(docs), F.col("doc_id"), F.col("text"))
     rows = rows.join(good, rows["doc_id"] == F.col("__good"), "left").select(
         rows["doc_id"].cast("long").alias("doc_id"), "__file", "__row", F.col("__good").isNotNull().alias("good"), rows["text"].cast("string").alias("text"))
     slice_bytes, block_bytes = SLICE_BYTES, BLOCK_BYTES

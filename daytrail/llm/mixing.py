@@ -137,7 +137,7 @@ def placed(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def streamed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     """(documents with their number of words and their first word's place in the source, the sources)."""
     docs, text = rereadable(docs), F.col("text").cast("string")
-    sized = stored(addressed(docs).select("__file", "__row", "doc_id", "source", F.size(words(text)).cast("long").alias("size")), "sizes")
+    sized = stored(addressed(docs, F.col("doc_id"), F.col("source"), F.size(words(text)).cast("long").alias("size")), "sizes")
     sources = stored(targets(sized, mix), "targets")
     names = sources.select(F.col("source").alias("__source"), "no", "source_size", "target")
     df = sized.join(names, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -177,7 +177,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     parts = spans(streams, sources, mix).groupBy("__file", "__row", "pass", "size").agg(
         F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("parts"), F.sum(F.col("end") - F.col("begin")).alias("taken"))
     # The documents' own columns stay in a structure, so that no name of theirs meets one of these.
-    df = addressed(docs).select(F.struct(*own).alias("__doc"), F.col("text").cast("string").alias("words"), "__file", "__row")
+    df = addressed(docs, F.struct(*own).alias("__doc"), F.col("text").cast("string").alias("words"))
     df = df.join(parts, ["__file", "__row"])
     text = F.regexp_replace("words", r"^[\x20\x09-\x0D]+", "")
     df = df.withColumn("units", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))))

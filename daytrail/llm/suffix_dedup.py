@@ -139,7 +139,7 @@ class Block:
     """Documents of a block in ascending order, their bytes one after another, and the runs within them."""
 
     def __init__(self, table: pa.Table, repeats: Repeats):
-        ids, texts, rows = (table[c].to_pylist() for c in ("doc_id", "text", "__row"))
+        ids, texts, rows = (table[c].to_pylist() for c in ("doc_id", "text", "row"))
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, rows[i]))
         self.ids = [ids[i] for i in self.order]
         self.texts = [texts[i] or b"" for i in self.order]
@@ -310,11 +310,11 @@ def _answered(parts: Iterator[tuple[int, np.ndarray]], answers: pa.Table, kind:
 
 def repeats_removed(docs: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
     """(doc_id, file, row, n_bytes, n_removed, n_spans, kept): `kept` are the bytes left, a row a document."""
-    rows = addressed(rereadable(docs))
     text = F.col("text").cast("string").cast("binary")
     long = F.coalesce(F.octet_length(text), F.lit(0)) > repeats.long
-    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("__file").alias("file"), F.col("__row"),
-                      F.when(long, -1 - F.col("__row")).otherwise(F.floor(F.col("__row") / repeats.rows)).alias("block"))
+    rows = addressed(rereadable(docs), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), long.alias("long"))
+    block = F.when(F.col("long"), -1 - F.col("__row")).otherwise(F.floor(F.col("__row") / repeats.rows))
+    own = rows.select("doc_id", "text", F.col("__file").alias("file"), F.col("__row").alias("row"), block.alias("block"))
     n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = int(n_bytes // repeats.bucket) + 1
 
@@ -346,13 +346,13 @@ def repeats_removed(docs: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
         first = np.array([ids[x[3]] for x in out], np.int64)
         whole = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
         flags = np.where(ids[doc] > first[which], whole[which], bits[which]) if len(which) else np.zeros(0, np.uint64)
-        return finished(block, [table["__row"][i].as_py() for i in block.order], n[which] if len(which) else n, at, flags, repeats)
+        return finished(block, [table["row"][i].as_py() for i in block.order], n[which] if len(which) else n, at, flags, repeats)
 
     blocks = own.groupBy("file", "block")
     asked = blocks.applyInArrow(send_anchors, _ddl(_ANCHORS))
-    told = asked.groupBy("bucket").applyInArrow(lambda t: shared_anchors(t, repeats), _ddl(_ANSWERS))
+    told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: shared_anchors(t, repeats), _ddl(_ANSWERS))
     stretches = blocks.cogroup(told.groupBy("file", "block")).applyInArrow(send_stretches, _ddl(_STRETCHES))
-    factors = stretches.groupBy("bucket").applyInArrow(lambda t: found_factors(t, repeats), _ddl(_ANSWERS))
+    factors = stretches.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: found_factors(t, repeats), _ddl(_ANSWERS))
     return blocks.cogroup(told.unionByName(factors).groupBy("file", "block")).applyInArrow(finish, _ddl(_DONE))
 
 
