@@ -12,6 +12,10 @@ from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from daytrail.operators import unified
+from daytrail.session import scratch_dir
+from daytrail.sources import dated as tables
+
 AS_OF = "2024-01-31 00:00:00"
 DAY = "2024-01-15"
 WEEK = "2024-01-15"
@@ -220,6 +224,24 @@ def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             ("app_usage", "website_visits", "website_usage", "media_playback", "media_track_change")}
 
 
+@cache
+def dated_path(spark: SparkSession, sf_dir: str) -> str:
+    """The facts and the unified log as tables by day, written once a session."""
+    path = scratch_dir(spark, "dated")
+    tables.write_facts(facts(spark, sf_dir), f"{path}/facts")
+    tables.write_log(unified.normalize_event(bind(spark, sf_dir, "payload_rows")), f"{path}/log")
+    return path
+
+
+def dated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The fact tables, from the tables by day."""
+    return tables.read_facts(spark, f"{dated_path(spark, sf_dir)}/facts")
+
+
+def dated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_log(spark, f"{dated_path(spark, sf_dir)}/log")
+
+
 def duckdb_ctes(*names: str) -> str:
     """The bindings, and those they build on, as the start of a WITH list."""
     ordered: list[str] = []

@@ -86,9 +86,9 @@ def _(spark, sf):
     return validation.clean_events(bind(spark, sf, "raw_events"), timeparts.timestamp_lit(AS_OF))[0]
 
 
-_KEYED = "event_key, type, app_name, window_title, url, title, timestamp, duration_seconds, event_date"
+_KEYED = "event_key, type, app_name, window_title, url, title, timestamp, duration_seconds, event_date, id, user_id, created_at"
 _EVENT_ROWS = (f"event_rows AS (SELECT {duck.usage_key()} AS event_key, type, app_name, window_title, url, title, timestamp,"
-               " duration_seconds, CAST(timestamp AS DATE) AS event_date FROM usage_events)")
+               " duration_seconds, CAST(timestamp AS DATE) AS event_date, id, user_id, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM usage_events)")
 
 
 def loaded_table(spark, sf) -> str:
@@ -99,7 +99,7 @@ def loaded_table(spark, sf) -> str:
 
 @query("load_events", needs=("usage_events",), ctes=_EVENT_ROWS, sql=f"SELECT {_KEYED} FROM event_rows")
 def _(spark, sf):
-    return tables.read_usage_events(spark, loaded_table(spark, sf)).drop("created_at", "id", "user_id")
+    return tables.read_usage_events(spark, loaded_table(spark, sf))
 
 
 _TWO_USERS = """two_users AS (SELECT id, user_id, * EXCLUDE (id, user_id) FROM usage_events
@@ -124,7 +124,7 @@ def _(spark, sf):
        sql=f"SELECT {_KEYED} FROM event_rows WHERE type = 'web' AND timestamp >= TIMESTAMP '2024-01-20 12:00:00'")
 def _(spark, sf):
     return tables.read_usage_events(
-        spark, loaded_table(spark, sf), "web", "2024-01-20 12:00:00").drop("created_at", "id", "user_id")
+        spark, loaded_table(spark, sf), "web", "2024-01-20 12:00:00")
 
 
 @query("write_rejects", needs=("raw_events",), ctes=duck.VALIDATED,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import duck
-from checks.bindings import DAY, bind, facts
+from checks.bindings import DAY, bind, dated_log, facts
 from checks.registry import query
 from daytrail.operators import unified
 from daytrail.plans import daily
@@ -85,14 +85,14 @@ _DAILY = f"""SELECT {duck.micros('timestamp')} AS timestamp, category, item, CAS
 @query("export_daily_csv", needs=PAYLOAD, ctes=duck.UNIFIED, sql=_DAILY)
 def _(spark, sf):
     out = scratch_dir(spark, "daily")
-    files.export_daily_csv(unified_rows(spark, sf), DAY, out)
+    files.export_daily_csv(dated_log(spark, sf), DAY, out)
     return files.read_daily_csv(spark, f"{out}/date={DAY}")
 
 
 @query("export_shift_csv", needs=PAYLOAD, ctes=duck.UNIFIED, sql=_DAILY + " AND shift_id = 2")
 def _(spark, sf):
     out = scratch_dir(spark, "shift")
-    files.export_shift_csv(unified_rows(spark, sf), DAY, 2, out)
+    files.export_shift_csv(dated_log(spark, sf), DAY, 2, out)
     return files.read_daily_csv(spark, f"{out}/date={DAY}/shift_id=2")
 
 
@@ -113,7 +113,7 @@ UNION ALL SELECT 'Summary', NULL, NULL, NULL, count(*), 'total_events' FROM toda
 UNION ALL SELECT 'Summary', NULL, NULL, NULL, CAST(coalesce(sum(duration_seconds) FILTER (category = c), 0) AS BIGINT), lower(c) || '_time_seconds'
   FROM (SELECT unnest(['APP', 'WEB', 'MEDIA']) AS c) LEFT JOIN today ON true GROUP BY c""")
 def _(spark, sf):
-    return unified.daily_sections(unified_rows(spark, sf), DAY)
+    return unified.daily_sections(dated_log(spark, sf), DAY)
 
 
 @query("shift_summary", needs=PAYLOAD, ctes=duck.UNIFIED, sql=f"""
@@ -121,7 +121,7 @@ SELECT shift_id, category, CAST(grouping_id(shift_id, category) AS INT) AS level
   CAST(sum(duration_seconds) AS BIGINT) AS total_seconds, count(*) AS events
 FROM unified WHERE {duck.one_day('timestamp', DAY)} GROUP BY ROLLUP (shift_id, category)""")
 def _(spark, sf):
-    return daily.shift_summary(unified_rows(spark, sf), DAY)
+    return daily.shift_summary(dated_log(spark, sf), DAY)
 
 
 @query("consolidate_logs", needs=PAYLOAD, ctes=duck.UNIFIED, sql=f"""

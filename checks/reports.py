@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import duck
-from checks.bindings import AS_OF, DAY, WEEK, bind, facts, given
+from checks.bindings import AS_OF, DAY, WEEK, bind, dated, facts, given
 from checks.clean import loaded_table
 from checks.registry import query
 from daytrail.operators import filters, lifecycle, unified
@@ -182,31 +182,31 @@ def _(spark, sf):
 @query("app_time", needs=("app_usage",), ctes=_DAY_APPS,
        sql="SELECT app_name, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM day_apps GROUP BY app_name")
 def _(spark, sf):
-    return daily.app_time(bind(spark, sf, "app_usage"), DAY)
+    return daily.app_time(dated(spark, sf)["app_usage"], DAY)
 
 
 @query("count_app_sessions", needs=("app_usage",), ctes=_DAY_APPS, sql="""
 SELECT count(*) AS sessions FROM (SELECT DISTINCT started_at, ended_at, duration_seconds, process_name, app_name, window_title FROM day_apps)""")
 def _(spark, sf):
-    return daily.count_app_sessions(bind(spark, sf, "app_usage"), DAY)
+    return daily.count_app_sessions(dated(spark, sf)["app_usage"], DAY)
 
 
 @query("website_time", needs=("website_usage",), ctes=_DAY_SITES,
        sql="SELECT domain, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM day_sites GROUP BY domain")
 def _(spark, sf):
-    return daily.website_time(bind(spark, sf, "website_usage"), DAY)
+    return daily.website_time(dated(spark, sf)["website_usage"], DAY)
 
 
 @query("website_details", needs=("website_visits",), sql=f"""
 SELECT domain, url, count(*) AS visits FROM website_visits WHERE {duck.one_day('visited_at', DAY)} GROUP BY domain, url""")
 def _(spark, sf):
-    return daily.website_details(bind(spark, sf, "website_visits"), DAY)
+    return daily.website_details(dated(spark, sf)["website_visits"], DAY)
 
 
 @query("media_time", needs=("media_playback",), ctes=_DAY_MEDIA, sql="""
 SELECT title, artist, source_app, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM day_media GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return daily.media_time(bind(spark, sf, "media_playback"), DAY)
+    return daily.media_time(dated(spark, sf)["media_playback"], DAY)
 
 
 _SEARCHES = f"""searches AS (SELECT url_decode(replace(regexp_extract(url, '[?&](?:q|search_query)=([^&#]*)', 1), '+', ' ')) AS search_query, count(*) AS visits
@@ -216,7 +216,7 @@ GROUP BY 1)"""
 
 @query("daily_searches", needs=("website_visits",), ctes=_SEARCHES, sql="SELECT * FROM searches")
 def _(spark, sf):
-    return daily.daily_searches(bind(spark, sf, "website_visits"), DAY)
+    return daily.daily_searches(dated(spark, sf)["website_visits"], DAY)
 
 
 _NAMED = f"""{_DAY_APPS}, {_DAY_SITES}, {_DAY_MEDIA},
@@ -235,13 +235,13 @@ score AS (SELECT
 
 @query("classify_activity", needs=FACTS, ctes=_NAMED, sql="SELECT kind, name, total_seconds, activity FROM classed")
 def _(spark, sf):
-    return daily.classify_activity(daily.activity_time(facts(spark, sf), DAY), bind(spark, sf, "rules"))
+    return daily.classify_activity(daily.activity_time(dated(spark, sf), DAY), bind(spark, sf, "rules"))
 
 
 @query("productivity_score", needs=FACTS, ctes=f"{_NAMED}, {_SEARCHES}", sql="""
 SELECT *, coalesce(100.0::DOUBLE * productive_seconds / nullif(total_seconds, 0), 0) AS score, (SELECT count(*) FROM searches) AS searches FROM score""")
 def _(spark, sf):
-    return daily.productivity_score(facts(spark, sf), DAY, bind(spark, sf, "rules"))
+    return daily.productivity_score(dated(spark, sf), DAY, bind(spark, sf, "rules"))
 
 
 @query("productivity_insights", needs=FACTS, ctes=_NAMED, sql="""
@@ -250,7 +250,7 @@ UNION ALL (SELECT 'top_site', name, CAST(total_seconds AS DOUBLE) FROM named WHE
 UNION ALL SELECT 'distraction_share', NULL, coalesce(100.0::DOUBLE * unproductive_seconds / nullif(total_seconds, 0), 0) FROM score
 UNION ALL SELECT 'mean_session_seconds', NULL, coalesce(CAST(sum(duration_seconds) AS DOUBLE) / nullif(count(*), 0), 0) FROM day_apps""")
 def _(spark, sf):
-    return daily.productivity_insights(facts(spark, sf), DAY, bind(spark, sf, "rules"))
+    return daily.productivity_insights(dated(spark, sf), DAY, bind(spark, sf, "rules"))
 
 
 _IN_WEEK = "CAST(started_at AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'"
@@ -262,29 +262,32 @@ week_media AS (SELECT source_app || ' | ' || title || ' - ' || artist AS track,
 
 @query("weekly_apps", needs=FACTS, ctes=_WEEK, sql="SELECT * FROM week_apps")
 def _(spark, sf):
-    return daily.weekly_apps(bind(spark, sf, "app_usage"), WEEK)
+    return daily.weekly_apps(dated(spark, sf)["app_usage"], WEEK)
 
 
 @query("weekly_websites", needs=FACTS, ctes=_WEEK, sql="SELECT * FROM week_sites")
 def _(spark, sf):
-    return daily.weekly_websites(bind(spark, sf, "website_usage"), WEEK)
+    return daily.weekly_websites(dated(spark, sf)["website_usage"], WEEK)
 
 
 @query("weekly_media", needs=FACTS, ctes=_WEEK, sql="SELECT * FROM week_media")
 def _(spark, sf):
-    return daily.weekly_media(bind(spark, sf, "media_playback"), WEEK)
+    return daily.weekly_media(dated(spark, sf)["media_playback"], WEEK)
 
 
 @query("weekly_total", needs=FACTS, ctes=_WEEK, sql="SELECT CAST(sum(total_seconds) AS BIGINT) AS total_seconds FROM week_apps")
 def _(spark, sf):
-    return daily.weekly_total(bind(spark, sf, "app_usage"), WEEK)
+    return daily.weekly_total(dated(spark, sf)["app_usage"], WEEK)
 
 
 @query("weekly_report", needs=FACTS, ctes=_WEEK + """,
 week_named AS (SELECT 'app' AS kind, app_name AS name, total_seconds FROM week_apps
-  UNION ALL SELECT 'domain', domain, total_seconds FROM week_sites UNION ALL SELECT 'media', track, total_seconds FROM week_media),
+  UNION ALL SELECT 'domain', domain, total_seconds FROM week_sites
+  UNION ALL SELECT 'media', title || ' - ' || artist, CAST(sum(duration_seconds) AS BIGINT)
+  FROM (SELECT DISTINCT * FROM media_playback) WHERE CAST(started_at AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY 2),
+week_rules AS (SELECT * FROM rules UNION ALL SELECT 'media', 'purchase - artist 1', 'unproductive'),
 week_classed AS (SELECT n.*, coalesce(r.activity, CASE WHEN n.kind = 'media' AND n.name LIKE '%focus%' THEN 'productive' END, 'neutral') AS activity
-  FROM week_named n LEFT JOIN rules r ON r.kind = n.kind AND r.name = n.name)""", sql=f"""
+  FROM week_named n LEFT JOIN week_rules r ON r.kind = n.kind AND r.name = n.name)""", sql=f"""
 SELECT 'app_seconds' AS metric, app_name AS key, CAST(total_seconds AS DOUBLE) AS value FROM week_apps
 UNION ALL SELECT 'website_seconds', domain, CAST(total_seconds AS DOUBLE) FROM week_sites
 UNION ALL SELECT 'media_seconds', track, CAST(total_seconds AS DOUBLE) FROM week_media
@@ -293,7 +296,8 @@ UNION ALL SELECT 'day_seconds', 'total', CAST(sum(duration_seconds) AS DOUBLE) F
 UNION ALL SELECT 'productivity_score', NULL,
   100.0::DOUBLE * CAST(sum(total_seconds) FILTER (activity = 'productive') AS BIGINT) / CAST(sum(total_seconds) AS BIGINT) FROM week_classed""")
 def _(spark, sf):
-    return daily.weekly_report(facts(spark, sf), WEEK, bind(spark, sf, "rules"))
+    one_track = spark.createDataFrame([("media", "purchase - artist 1", "unproductive")], "kind STRING, name STRING, activity STRING")
+    return daily.weekly_report(dated(spark, sf), WEEK, bind(spark, sf, "rules").unionByName(one_track))
 
 
 @query("weekly_update_day", needs=UE, sql="""

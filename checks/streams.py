@@ -27,18 +27,22 @@ def _event_stream(spark, path, schema):
 
 
 _INGESTED = duck.LOADABLE + f""",
-ingested AS (SELECT DISTINCT {duck.usage_key()} AS event_key, type, app_name, window_title, url, title, timestamp, duration_seconds,
-  CAST(timestamp AS DATE) AS event_date FROM loadable)"""
+ingested AS (SELECT {duck.usage_key()} AS event_key, type, app_name, window_title, url, title, timestamp, duration_seconds,
+  CAST(timestamp AS DATE) AS event_date, id, user_id,
+  row_number() OVER (PARTITION BY user_id, {duck.usage_key()} ORDER BY id) AS copy
+  FROM (SELECT *, id % 3 AS user_id FROM loadable UNION ALL SELECT * REPLACE (id + 1000000000 AS id), id % 3 + 3 FROM loadable))"""
 
 
-@query("ingest_stream", needs=("raw_events",), ctes=_INGESTED, sql="SELECT * FROM ingested")
+@query("ingest_stream", needs=("raw_events",), ctes=_INGESTED, sql="SELECT * EXCLUDE (copy) FROM ingested WHERE copy = 1")
 def _(spark, sf):
     src, out = scratch_dir(spark, "lines"), scratch_dir(spark, "ingest")
-    text = lines.event_lines(bind(spark, sf, "raw_events"))
+    raw = bind(spark, sf, "raw_events").withColumn("user_id", F.col("id") % 3)
+    twice = raw.withColumns({"id": F.col("id") + 1_000_000_000, "user_id": F.col("user_id") + 3})  # the same lines of other users
+    text = lines.event_lines(raw.unionByName(twice))
     for _ in range(2):  # the same lines again change nothing
         text.write.mode("append").text(src)
         ingest.ingest_stream(spark, src, f"{out}/events", f"{out}/rejects", f"{out}/checkpoint", AS_OF).awaitTermination()
-    return tables.read_usage_events(spark, f"{out}/events").drop("created_at", "id", "user_id")  # lines have neither
+    return tables.read_usage_events(spark, f"{out}/events").drop("created_at")
 
 
 @query("stream_event_lines", needs=("raw_events",), sql="""

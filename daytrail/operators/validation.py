@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daytrail.functions.let import let
 from daytrail.functions.privacy import redact_text, redact_url
 from daytrail.functions.timeparts import parse_event_ts
+from daytrail.schemas import OWNER_COLUMNS
 
 # Field limits and load defaults.
 MAX_APP_NAME = 255
@@ -65,7 +66,15 @@ def validate_events(df: DataFrame, default_type: str | None = None) -> DataFrame
     """Add `reasons`, empty for a good event. Lengths are those before redaction."""
     event_type = F.coalesce("type", F.lit(default_type)) if default_type else F.col("type")
     typed = df.withColumn("type", event_type)
-    return typed.withColumn("reasons", reject_reasons(F.col("type")))
+    reasons = reject_reasons(F.col("type"))
+    # An owner that cannot be read must not become no owner, who is one user.
+    wrong = [F.when(F.col(c).isNotNull() & whole_number(F.col(c)).isNull(), f"{c}_invalid").otherwise("") for c in _owner_text(df)]
+    return typed.withColumn("reasons", F.concat(reasons, F.array_remove(F.array(*wrong), "")) if wrong else reasons)
+
+
+def _owner_text(df: DataFrame) -> list[str]:
+    """Owner columns that are text, as lines have them."""
+    return [c for c, kind in df.dtypes if c in OWNER_COLUMNS and kind == "string"]
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +101,8 @@ def apply_load_defaults(df: DataFrame, ingest_time: Column) -> DataFrame:
     if dict(df.dtypes)["duration_seconds"] == "string":
         duration = whole_number(duration)
     blank = F.lit("")
-    kept = [name for name in ("id", "user_id") if name in df.columns]
+    text = _owner_text(df)
+    kept = [whole_number(F.col(c)).alias(c) if c in text else c for c in OWNER_COLUMNS if c in df.columns]
     return df.select(
         *kept,
         "type",

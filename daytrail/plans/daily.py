@@ -86,14 +86,29 @@ def daily_searches(visits: DataFrame, day: dt.date | str) -> DataFrame:
         F.col("search_query").isNotNull()).groupBy("search_query").agg(F.sum("_n").alias("visits"))
 
 
+def spent(facts: dict[str, DataFrame], pick) -> DataFrame:
+    """Seconds by kind (app, domain, media), name, track and day of the rows that `pick` takes of each table.
+
+    Exact duplicates count once. The tables meet before they are told apart, so that one shuffle serves all three.
+    """
+    names = {"app_usage": ("app", F.col("app_name")), "website_usage": ("domain", F.col("domain")),
+             "media_playback": ("media", F.concat_ws(" - ", "title", "artist"))}
+    track = F.concat_ws(" | ", "source_app", F.concat_ws(" - ", "title", "artist"))
+
+    def rows(table: str) -> DataFrame:
+        kind, name = names[table]
+        df = pick(facts[table])
+        return df.select(F.lit(kind).alias("kind"), name.alias("name"), (track if kind == "media" else F.lit(None).cast("string")).alias("track"),
+                         F.col("started_at").cast("date").alias("day"), "duration_seconds", F.array(*[F.col(c).cast("string") for c in df.columns]).alias("_row"))
+
+    once = distinct_rows(reduce(lambda a, b: a.unionByName(b), map(rows, names)))
+    return once.groupBy("kind", "name", "track", "day").agg(F.sum("duration_seconds").alias("total_seconds"))
+
+
 def activity_time(facts: dict[str, DataFrame], day: dt.date | str) -> DataFrame:
     """Seconds of a day by kind (app, domain, media) and name."""
-    return reduce(lambda a, b: a.unionByName(b), [
-        app_time(facts["app_usage"], day).select(F.lit("app").alias("kind"), F.col("app_name").alias("name"), "total_seconds"),
-        website_time(facts["website_usage"], day).select(F.lit("domain").alias("kind"), F.col("domain").alias("name"), "total_seconds"),
-        _time_by(distinct_rows(on_date(facts["media_playback"], day, "started_at")),
-                 F.concat_ws(" - ", "title", "artist").alias("name")).select(F.lit("media").alias("kind"), "name", "total_seconds"),
-    ])
+    cells = spent(facts, lambda df: on_date(df, day, "started_at"))
+    return cells.groupBy("kind", "name").agg(F.sum("total_seconds").alias("total_seconds"))
 
 
 def _score(totals: DataFrame) -> DataFrame:
@@ -156,30 +171,25 @@ def weekly_total(df: DataFrame, start: dt.date | str, end: dt.date | str | None
 
 def weekly_report(facts: dict[str, DataFrame], start: dt.date | str, rules: DataFrame,
                   end: dt.date | str | None = None) -> DataFrame:
-    """A week as rows `metric, key, value`: per application, site, track and day, total, score."""
-    apps = weekly_apps(facts["app_usage"], start, end)
-    sites = weekly_websites(facts["website_usage"], start, end)
-    tracks = weekly_media(facts["media_playback"], start, end)
-
-    def rows(df: DataFrame, metric: str, key: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"),
-                         value.cast("double").alias("value"))
-
-    seconds = F.col("total_seconds")
-    per_day = distinct_rows(in_week(facts["app_usage"], start, end, "started_at")).groupBy(
-        F.col("started_at").cast("date").alias("day")).agg(F.sum("duration_seconds").alias("_seconds")).rollup(
-        "day").agg(F.sum("_seconds").alias("total_seconds"), F.grouping("day").alias("_all"))
-    names = reduce(lambda a, b: a.unionByName(b), [
-        apps.select(F.lit("app").alias("kind"), F.col("app_name").alias("name"), "total_seconds"),
-        sites.select(F.lit("domain").alias("kind"), F.col("domain").alias("name"), "total_seconds"),
-        tracks.select(F.lit("media").alias("kind"), F.col("track").alias("name"), "total_seconds")])
-    score = _score(classify_activity(names, rules))
-    return reduce(lambda a, b: a.unionByName(b), [
-        rows(apps, "app_seconds", F.col("app_name"), seconds),
-        rows(sites, "website_seconds", F.col("domain"), seconds),
-        rows(tracks, "media_seconds", F.col("track"), seconds),
-        rows(per_day, "day_seconds", F.when(F.col("_all") == 1, "total").otherwise(F.col("day").cast("string")), seconds),
-        rows(score, "productivity_score", F.lit(None), F.col("score"))])
+    """A week as rows `metric, key, value`: per application, site, track and day, total, score.
+
+    Media are classed by title and artist, as a day's are; the player is in the track's key only.
+    """
+    cells = classify_activity(spent(facts, lambda df: in_week(df, start, end, "started_at")), rules)
+    kind = F.col("kind")
+
+    def entry(metric: str, key: Column | str) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), (F.lit(key) if isinstance(key, str) else key).alias("key"))
+
+    entries = (F.when(kind == "app", F.array(entry("app_seconds", F.col("name")), entry("day_seconds", F.col("day").cast("string")),
+                                             entry("day_seconds", "total"), entry("", F.col("activity"))))
+               .when(kind == "domain", F.array(entry("website_seconds", F.col("name")), entry("", F.col("activity"))))
+               .otherwise(F.array(entry("media_seconds", F.col("track")), entry("", F.col("activity")))))
+    sums = cells.select(F.explode(entries).alias("_e"), "total_seconds").groupBy("_e.metric", "_e.key").agg(
+        F.sum("total_seconds").alias("total_seconds"))
+    score = _score(sums.where("metric = ''").withColumnRenamed("key", "activity"))
+    return sums.where("metric <> ''").select("metric", "key", F.col("total_seconds").cast("double").alias("value")).unionByName(
+        score.select(F.lit("productivity_score").alias("metric"), F.lit(None).cast("string").alias("key"), F.col("score").alias("value")))
 
 
 def shift_summary(df: DataFrame, day: dt.date | str) -> DataFrame:

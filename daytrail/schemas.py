@@ -6,7 +6,7 @@ from __future__ import annotations
 # instead of a parse failure.
 RAW_FIELDS = [
     "type", "app_name", "window_title", "process_id", "url", "title",
-    "timestamp", "visit_time", "duration_seconds", "visit_duration",
+    "timestamp", "visit_time", "duration_seconds", "visit_duration", "id", "user_id",
 ]
 RAW_DDL = ", ".join(f"{name} STRING" for name in RAW_FIELDS)
 

@@ -209,4 +209,4 @@ def test_blank_lines_are_no_rejects(spark):
 
 
 def test_raw_fields_are_text():
-    assert "timestamp" in RAW_FIELDS and len(RAW_FIELDS) == 10
+    assert "timestamp" in RAW_FIELDS and len(RAW_FIELDS) == 12
