@@ -34,11 +34,10 @@ from daytrail.llm.common import stored, with_start
 
 @dataclass(frozen=True)
 class Tree:
-    """`levels`: levels within a block; `rounds`: exchanges after which the state is written."""
+    """`levels`: levels within a block."""
 
     fanout: int = 3
     levels: int = 7
-    rounds: int = 4
 
     @property
     def block(self) -> int:
@@ -131,7 +130,7 @@ def exchanged(roots: DataFrame, group: str, tree: Tree) -> DataFrame:
     """
     most = roots.agg(F.max("n_blocks")).first()[0] or 0
     state = roots.withColumn("outer", F.expr("CAST(array() AS ARRAY<ARRAY<STRING>>)"))
-    width, since, f = 1, 0, tree.fanout
+    width, f = 1, tree.fanout
     while width < most:
         run = F.floor(F.col("block") / (width * f))
         j = F.floor(F.col("block") / width) - run * f
@@ -150,8 +149,8 @@ def exchanged(roots: DataFrame, group: str, tree: Tree) -> DataFrame:
             group, "block", "n_blocks", F.sha2(F.array_join("run.theirs", ""), 256).alias("node"),
             F.concat("outer", F.array(F.filter("run", lambda x: x["other"] != F.col("own"))["theirs"])).alias("outer"))
         state = done.select(*live.columns).unionByName(live)
-        width, since = width * f, since + 1
-        if since % tree.rounds == 0 and width < most:
+        width *= f
+        if width < most:  # a round's frames use the state three times
             state = stored(state, "butterfly")
     return state.select(group, "block", F.col("node").alias("root"), "outer")
 

@@ -141,7 +141,7 @@ def plain_manifest(rows, fanout=3):
     return out
 
 
-@pytest.mark.parametrize("tree", [merkle.Tree(), merkle.Tree(levels=1, rounds=2), merkle.Tree(fanout=2, levels=0, rounds=1), merkle.Tree(fanout=4, levels=1)])
+@pytest.mark.parametrize("tree", [merkle.Tree(), merkle.Tree(levels=1), merkle.Tree(fanout=2, levels=0), merkle.Tree(fanout=4, levels=1)])
 def test_manifest(docs, rows, tree):
     out = merkle.verified(docs, tree).collect()
     want = plain_manifest(rows, tree.fanout)
