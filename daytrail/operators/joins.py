@@ -74,9 +74,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
         F.struct(*values, F.col(right_ts).alias("_at")).alias("_value"),
     ), allowMissingColumns=True)
     split_by = list(split_by or keys)
-    hot = hot_keys(left.select(*split_by, F.col(left_ts).alias("_at")).unionByName(
-        right.select(*split_by, F.col(right_ts).alias("_at"))), split_by, "_at", hot_rows)
-    carried = carry_last(both, hot, keys, "_at", ["_at", "_side", "_tie"], "_value", "_match")
+    # The hash tells rows of one time apart, of which there may be any number.
+    places = left.select(*split_by, F.col(left_ts).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"),
+                         F.xxhash64(*left.columns).alias("_row_hash")).unionByName(
+        right.select(*split_by, F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"),
+                     F.xxhash64(*right.columns).alias("_row_hash")))
+    hot = hot_keys(places, split_by, ["_at", "_side", "_tie"], hot_rows)
+    carried = carry_last(both, hot, keys, ["_at", "_side", "_tie"], "_value", "_match")
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return carried.where("_side = 1").select("_row.*", F.when(known, F.col("_match")).alias("_match"))
 

@@ -22,7 +22,7 @@ def changed_only(df: DataFrame, same: Sequence[str] = WINDOW, keys: Sequence[str
                  ts: str = "timestamp", order: Sequence[str] = ("timestamp", "id"),
                  max_gap_seconds: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows that differ from the row before them; a gap above the bound also counts as a change."""
-    near = neighbour_row(df, hot_keys(df, keys, ts, hot_rows), keys, ts, order, [*same, ts])
+    near = neighbour_row(df, hot_keys(df, keys, order, hot_rows), keys, order, [*same, ts])
     previous = F.col("_prev")
     repeats = previous.isNotNull()
     for c in same:
@@ -52,7 +52,7 @@ def sessionize(df: DataFrame, grace_seconds: int, keys: Sequence[str] = ("user_i
                same: Sequence[str] = WINDOW, ts: str = "timestamp",
                order: Sequence[str] = ("timestamp", "id"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sessions: runs of the same window with no break longer than the grace."""
-    return islands(df, hot_keys(df, keys, ts, hot_rows), keys, ts, order, same, grace_seconds * 1_000_000,
+    return islands(df, hot_keys(df, keys, order, hot_rows), keys, ts, order, same, grace_seconds * 1_000_000,
                    ["duration_seconds"])
 
 
@@ -87,8 +87,8 @@ def media_sessions(polls: DataFrame, keys: Sequence[str] = ("user_id", "source_a
     known, belong to one track and moved by no more than the clock did and one poll interval;
     else the time on the clock.
     """
-    hot = hot_keys(polls, keys, ts, hot_rows)
-    near = neighbour_row(polls, hot, keys, ts, order, [ts, "title", "artist", "position_ticks"],
+    hot = hot_keys(polls, keys, order, hot_rows)
+    near = neighbour_row(polls, hot, keys, order, [ts, "title", "artist", "position_ticks"],
                          name="_next", following=True)
     following = F.col("_next")
     clock = epoch_us(following[ts]) - epoch_us(F.col(ts))
@@ -115,7 +115,7 @@ def derive_durations(df: DataFrame, cap: int = MAX_DURATION_SECONDS, keys: Seque
                      ts: str = "timestamp", order: Sequence[str] = ("timestamp", "id"),
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fill a missing or zero duration with the time to the user's next event, up to a cap."""
-    near = neighbour_row(df, hot_keys(df, keys, ts, hot_rows), keys, ts, order, [ts], name="_next",
+    near = neighbour_row(df, hot_keys(df, keys, order, hot_rows), keys, order, [ts], name="_next",
                          following=True)
     until_next = F.floor((epoch_us(F.col("_next")[ts]) - epoch_us(F.col(ts))) / 1_000_000)
     derived = F.least(F.coalesce(until_next, F.lit(0)), F.lit(cap)).cast("int")

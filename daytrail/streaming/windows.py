@@ -6,15 +6,14 @@ watermark reaches no sink of the watermarked forms; a query's progress counts su
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
-from daytrail.operators.ordered import HOT_ROWS
-from daytrail.operators.sequence import SIGNATURE, WINDOW, changed_only
-from daytrail.sources.tables import remove_path, table_exists
+from daytrail.operators.sequence import SIGNATURE, WINDOW
 
 
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -57,36 +56,72 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
         "path", path).trigger(availableNow=True).start()
 
 
-def changed_only_stream(df: DataFrame, out: str, state: str, checkpoint: str,
-                        same: Sequence[str] = WINDOW, keys: Sequence[str] = ("user_id",),
-                        ts: str = "timestamp", order: Sequence[str] = ("timestamp", "id"),
-                        hot_rows: int = HOT_ROWS) -> StreamingQuery:
-    """Continuous change detection.
+class _LastRow(StatefulProcessor):
+    """Passes a chunk's first row on if it differs from the last row of the chunk before, and rows from within chunks as they are.
 
-    Each batch runs the batch operator over its rows and every key's last row so far, which is
-    kept per batch number: a batch tried again starts from the same state and overwrites its
-    output. So a busy key's rows are split here as in the batch form. A row that arrives after
-    later rows of its key is compared with the rows of its own batch only.
+    State is the last row's `same` of each key that has had a chunk, and only keys of the batch are looked up.
     """
-    spark = df.sparkSession
-    columns = df.columns
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = f"{state}/batch={batch_id - 1}"
-        rows = batch.select(*columns).withColumn("_seen", F.lit(False))
-        if batch_id > 0 and table_exists(spark, before):
-            last = spark.read.schema(rows.schema).parquet(before).withColumn("_seen", F.lit(True))
-            rows = rows.unionByName(last)
-        rows = rows.persist()
-        try:
-            changed_only(rows, same, keys, ts, order, hot_rows=hot_rows).where("not _seen").drop(
-                "_seen").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")
-            rows.groupBy(*keys).agg(newest).select("_row.*").write.mode("overwrite").parquet(
-                f"{state}/batch={batch_id}")
-            remove_path(spark, f"{state}/batch={batch_id - 2}")  # no batch can need it again
-        finally:
-            rows.unpersist()
-
-    return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+
+    def __init__(self, columns: list[str], state: StructType):
+        self.columns, self.state = columns, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        firsts = []
+        for row in rows:
+            if row["_first"]:
+                firsts.append(row)  # one for each chunk that has ended
+            else:
+                yield self.out(row)
+        if not firsts:
+            return
+        firsts.sort(key=lambda row: row["_end"])
+        n = len(self.state.fields)
+        before = tuple(self.last.get()) if self.last.exists() else None
+        for row in firsts:
+            if before != tuple(row[f"_open{i}"] for i in range(n)):
+                yield self.out(row)
+            before = tuple(row[f"_close{i}"] for i in range(n))
+        self.last.update(before)
+
+    def out(self, row: Row) -> Row:
+        return Row(**{c: row[c] for c in self.columns})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_only_stream(df: DataFrame, delay: str, chunk: str = "10 minutes", same: Sequence[str] = WINDOW,
+                        keys: Sequence[str] = ("user_id",), ts: str = "timestamp",
+                        order: Sequence[str] = ("timestamp", "id"), spread: int = 64) -> DataFrame:
+    """Continuous change detection: rows that differ in `same` from the key's row before them.
+
+    Rows wait until the watermark, `delay` behind the newest row, has passed their chunk of time; so rows that come late, but not by more,
+    are compared in their place, as in the batch form. A chunk's rows are compared with each other where they are grouped; only its
+    first and last row go to the key's state, so that a busy key sends one row a chunk to its task. Rows within chunks are spread.
+
+    A row later than the watermark, or without a time, reaches no sink. Keys that never come again keep their last row.
+    """
+    columns, keys = df.columns, list(keys)
+    fields = {f.name: f for f in df.schema.fields}
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("row"))
+    timed = df.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+    chunks = timed.groupBy(F.window("_at", chunk).alias("_w"), *keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+
+    def of(x: Column) -> list[Column]:
+        return [x["row"][c] for c in same]
+
+    def begins(x: Column, i: Column) -> Column:
+        return (i == 0) | ~F.struct(*of(x)).eqNullSafe(F.struct(*of(F.get("_rows", i - 1))))
+
+    ends = {f"_{end}{i}": c for end, k in (("open", 1), ("close", -1)) for i, c in enumerate(of(F.element_at("_rows", k)))}
+    listed = chunks.select("_w.end", *[c.alias(name) for name, c in ends.items()],
+                           F.posexplode(F.filter("_rows", begins)).alias("_k", "_r"))
+    first = F.col("_k") == 0
+    flat = listed.select(
+        *[F.col("_r.row")[c].alias(c) for c in columns], F.col("end").alias("_end"), *ends, first.alias("_first"),
+        F.when(first, F.lit(0)).otherwise(1 + F.col("_k") % spread).alias("_part"))
+    state = StructType([fields[c] for c in same])
+    return flat.groupBy(*keys, "_part").transformWithState(_LastRow(columns, state), df.schema, "append", "none")

@@ -1,4 +1,4 @@
-"""Hot keys: cut into time chunks, the results must be those of a plain window."""
+"""Hot keys: cut into chunks, the results must be those of a plain window."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from checks.bindings import bind
 from daytrail.operators import joins, ordered, sequence
 
 HOT = 20  # rows that make a key hot here
+ORDER = ["timestamp", "id"]
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +29,10 @@ def rows(df):
 
 
 def test_hot_keys_are_found_and_bounded(events):
-    hot = ordered.hot_keys(events, ["user_id"], "timestamp", HOT).collect()
+    hot = ordered.hot_keys(events, ["user_id"], ORDER, HOT).collect()
     assert 1 in [r.user_id for r in hot]
-    assert ordered.hot_keys(events, ["user_id"], "timestamp").isEmpty()
-    chunks = ordered.with_chunk(events, ordered.hot_keys(events, ["user_id"], "timestamp", HOT), "timestamp")
+    assert ordered.hot_keys(events, ["user_id"], ORDER).isEmpty()
+    chunks = ordered.with_chunk(events, ordered.hot_keys(events, ["user_id"], ORDER, HOT), ORDER)
     sizes = chunks.where("user_id = 1").groupBy("_chunk").count()
     assert sizes.count() > 10
     assert sizes.agg(F.max("count")).first()[0] < 4 * HOT
@@ -39,8 +40,8 @@ def test_hot_keys_are_found_and_bounded(events):
 
 @pytest.mark.parametrize("following", [False, True])
 def test_neighbour_row(events, following):
-    hot = ordered.hot_keys(events, ["user_id"], "timestamp", HOT)
-    got = ordered.neighbour_row(events, hot, ["user_id"], "timestamp", ["timestamp", "id"], ["id"], "near", following)
+    hot = ordered.hot_keys(events, ["user_id"], ORDER, HOT)
+    got = ordered.neighbour_row(events, hot, ["user_id"], ["timestamp", "id"], ["id"], "near", following)
     w = Window.partitionBy("user_id").orderBy("timestamp", "id")
     want = events.withColumn("near", (F.lead if following else F.lag)(F.struct("id")).over(w))
     assert rows(got.select("id", "near")) == rows(want.select("id", "near"))
@@ -48,8 +49,8 @@ def test_neighbour_row(events, following):
 
 def test_carry_last(events):
     marked = events.withColumn("mark", F.when(F.col("id") % 97 == 0, F.col("id")))
-    hot = ordered.hot_keys(marked, ["user_id"], "timestamp", HOT)
-    got = ordered.carry_last(marked, hot, ["user_id"], "timestamp", ["timestamp", "id"], "mark", "last")
+    hot = ordered.hot_keys(marked, ["user_id"], ORDER, HOT)
+    got = ordered.carry_last(marked, hot, ["user_id"], ["timestamp", "id"], "mark", "last")
     w = Window.partitionBy("user_id").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = marked.withColumn("last", F.last("mark", True).over(w))
     assert rows(got.select("id", "last")) == rows(want.select("id", "last"))
@@ -125,3 +126,42 @@ def test_random_chunks_against_brute_force(spark):
         F.timestamp_diff("SECOND", F.lit("2026-01-01").cast("timestamp_ntz"), "started_at").alias("s"),
         F.timestamp_diff("SECOND", F.lit("2026-01-01").cast("timestamp_ntz"), "ended_at").alias("e"), "n_events", "duration_seconds")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sessions))
+
+
+@pytest.fixture(scope="module")
+def burst(spark):
+    """One user's rows: most of them at one time, many without a time, few elsewhere; some without an id as well."""
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 50 > 0, F.col("id")).alias("id"), F.lit(1).alias("user_id"),
+        F.when(F.col("id") % 10 < 6, F.lit("2026-01-01 10:00:00").cast("timestamp_ntz")).when(
+            F.col("id") % 10 == 9, F.timestamp_add("SECOND", F.col("id"), F.lit("2026-01-01").cast("timestamp_ntz"))).alias("timestamp"),
+        F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("app_name"), F.col("id").cast("string").alias("window_title"),
+        F.lit(1).alias("duration_seconds"))
+    return df.where("id IS NOT NULL OR timestamp IS NULL").cache()
+
+
+def test_a_burst_is_cut(burst):
+    hot = ordered.hot_keys(burst, ["user_id"], ORDER, 100)
+    chunks = ordered.with_chunk(burst, hot, ORDER)
+    sizes = sorted(r["count"] for r in chunks.groupBy("_chunk").count().collect())
+    assert len(sizes) > 30 and sizes[-1] < 4 * sizes[len(sizes) // 2]
+    at_once = chunks.where("timestamp = TIMESTAMP_NTZ'2026-01-01 10:00:00'").select("_chunk").distinct().count()
+    timeless = chunks.where("timestamp IS NULL").select("_chunk").distinct().count()
+    assert at_once > 15 and timeless > 8
+
+
+def test_rows_of_a_burst_keep_their_results(burst):
+    known = burst.where("id IS NOT NULL")
+    for run in (lambda n: sequence.changed_only(known, ("app_name",), hot_rows=n), lambda n: sequence.sessionize(known, 60, same=("app_name",), hot_rows=n),
+                lambda n: sequence.derive_durations(known.withColumn("duration_seconds", F.lit(0)), hot_rows=n)):
+        assert rows(run(100)) == rows(run(ordered.HOT_ROWS))
+    visits = known.select("user_id", F.lit("firefox").alias("browser"), "timestamp", "id", F.col("window_title").alias("url")).where("id % 3 = 0")
+    sessions = known.select("user_id", F.lit("firefox").alias("browser"), "app_name", "window_title", F.col("timestamp").alias("started_at"),
+                            F.col("timestamp").alias("ended_at"))
+    assert rows(joins.infer_session_url(sessions, visits, 100)) == rows(joins.infer_session_url(sessions, visits))
+
+
+def test_summaries_of_chunks_meet_in_one_place_only(burst):
+    """A key without hot rows has no chunk, and one more shuffle is all that hot keys cost."""
+    hot = ordered.hot_keys(burst, ["user_id"], ORDER)
+    assert ordered.with_chunk(burst, hot, ORDER).where("_chunk IS NOT NULL OR _tie_hash IS NOT NULL").isEmpty()
