@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from checks import duck
 from checks.bindings import DAY, bind, dated_log, facts
 from checks.registry import query
+from daytrail.functions import timeparts
 from daytrail.operators import unified
 from daytrail.plans import daily
 from daytrail.schemas import DAILY_CSV_COLUMNS, FACT_COLUMNS
 from daytrail.session import scratch_dir
-from daytrail.sources import files, lines
+from daytrail.sources import collect, dated, files, lines
 
 PAYLOAD = ("payload_rows",)
 _ROW = 'timestamp, category, source, item, event_type, duration_seconds, "window", url'
@@ -145,3 +146,52 @@ AND event_key NOT IN (SELECT event_key FROM unified WHERE category = 'WEB') GROU
 def _(spark, sf):
     rows = unified_rows(spark, sf)
     return unified.collect_since(rows, "2024-01-12 00:00:00", rows.where("category = 'WEB'")).select("event_key", "timestamp")
+
+
+@query("collect_job", needs=PAYLOAD, ctes=duck.UNIFIED + """,
+once AS (SELECT * FROM unified QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY timestamp) = 1),
+early AS (SELECT * FROM once WHERE timestamp <= TIMESTAMP '2024-01-16 00:00:00'),
+late AS (SELECT * FROM once WHERE timestamp > (SELECT max(timestamp) FROM early)),
+found AS (SELECT * FROM once WHERE timestamp > TIMESTAMP '2024-01-12 00:00:00')""", sql="""
+SELECT 1 AS run, 'scheduled' AS kind, NULL::TIMESTAMP AS since, max(timestamp) AS mark, count(*) AS events_collected, count(*) AS events_written,
+  false AS dry_run, count(*) AS table_rows FROM early
+UNION ALL SELECT 2, 'scheduled', (SELECT max(timestamp) FROM early), max(timestamp), count(*), count(*), true, (SELECT count(*) FROM early) FROM late
+UNION ALL SELECT 3, 'scheduled', (SELECT max(timestamp) FROM early), max(timestamp), count(*), count(*), false, (SELECT count(*) FROM once) FROM late
+UNION ALL SELECT 4, 'scheduled', (SELECT max(timestamp) FROM once), (SELECT max(timestamp) FROM once), 0, 0, false, (SELECT count(*) FROM once)
+UNION ALL SELECT 5, 'manual', TIMESTAMP '2024-01-12 00:00:00', max(timestamp), count(*), 0, false, (SELECT count(*) FROM once) FROM found""")
+def _(spark, sf):
+    """A first run over half of the log, then over all of it: dry, in earnest, again, and by hand from a given time."""
+    path, progress = scratch_dir(spark, "collected"), scratch_dir(spark, "progress")
+    log = unified_rows(spark, sf)
+    half = log.where("timestamp <= '2024-01-16 00:00:00'")
+    out = None
+    for run, (rows, given) in enumerate([(half, {}), (log, {"dry_run": True}), (log, {}), (log, {}), (log, {"kind": "manual", "since": "2024-01-12 00:00:00"})], 1):
+        done = collect.collect_log(rows, path, progress, **given).withColumns({
+            "run": F.lit(run), "table_rows": F.lit(dated.read_log(spark, path).count()).cast("long")})
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+_ZONE = "Europe/Berlin"
+
+
+@query("shifts_in_zone", needs=("base_events",), ctes=f"""
+moved AS (SELECT id, timestamp + INTERVAL 74 DAY AS ts FROM base_events UNION ALL SELECT id + 1000000000, timestamp + INTERVAL 284 DAY FROM base_events),
+clocks AS (SELECT *, timezone('{_ZONE}', timezone('UTC', ts)) AS local FROM moved),
+shifts AS (SELECT *, CAST(local AS DATE) AS day, CAST(hour(local) // 8 + 1 AS INT) AS shift_id FROM clocks)""", sql=f"""
+SELECT id, ts AS timestamp, local AS timestamp_local, day, shift_id,
+  timezone('UTC', timezone('{_ZONE}', CAST(day AS TIMESTAMP) + INTERVAL 8 HOUR * (shift_id - 1))) AS shift_start,
+  timezone('UTC', timezone('{_ZONE}', CAST(day AS TIMESTAMP) + INTERVAL 8 HOUR * shift_id)) AS shift_end,
+  CASE WHEN day = DATE '2024-03-31' AND shift_id = 1 THEN 7 WHEN day = DATE '2024-10-27' AND shift_id = 1 THEN 9 ELSE 8 END AS hours
+FROM shifts""")
+def _(spark, sf):
+    """Events of two months that have a clock change each, in shifts by local clocks."""
+    base = bind(spark, sf, "base_events").select("id", "timestamp")
+    moved = base.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '74' DAY")).unionByName(
+        base.select((F.col("id") + 1_000_000_000).alias("id"), (F.col("timestamp") + F.expr("INTERVAL '284' DAY")).alias("timestamp")))
+    ts = F.col("timestamp")
+    rows = moved.withColumns({"timestamp_local": timeparts.timestamp_local(ts, _ZONE), "day": timeparts.shift_day(ts, _ZONE),
+                              "shift_id": timeparts.shift_id(ts, _ZONE)})
+    start, end = (f(F.col("day"), F.col("shift_id"), _ZONE) for f in (timeparts.shift_start, timeparts.shift_end))
+    hours = F.timestamp_diff("HOUR", F.col("shift_start"), F.col("shift_end")).cast("int")
+    return rows.withColumns({"shift_start": start, "shift_end": end}).withColumn("hours", hours)

@@ -12,6 +12,8 @@ from daytrail.operators import filters, lifecycle, unified
 from daytrail.plans import daily
 from daytrail.plans import reports as plans
 from daytrail.session import scratch_dir
+from daytrail.functions.timeparts import timestamp_lit
+from daytrail.sources import dated as dated_tables
 from daytrail.sources import files, lines, tables
 
 UE = ("usage_events",)
@@ -334,21 +336,79 @@ def _(spark, sf):
 
 # Retention
 
-@query("purge_older_than", needs=UE, sql="""
-SELECT 'kept' AS outcome, count(*) AS rows FROM usage_events WHERE timestamp >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY
-UNION ALL SELECT 'deleted', count(*) FROM usage_events WHERE timestamp < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY""")
+_LOADED = f"""loaded AS (SELECT {duck.usage_key()} AS event_key, type, app_name, window_title, url, title, timestamp, duration_seconds,
+  TIMESTAMP '2024-01-31 00:00:00' AS created_at, id, user_id, CAST(timestamp AS DATE) AS event_date FROM usage_events)"""
+
+
+@query("purge_older_than", needs=UE, ctes=_LOADED, sql="""
+SELECT *, (SELECT count(*) FROM loaded WHERE timestamp < TIMESTAMP '2024-01-31 12:30:00' - INTERVAL 20 DAY) AS rows_deleted
+FROM loaded WHERE timestamp >= TIMESTAMP '2024-01-31 12:30:00' - INTERVAL 20 DAY""")
 def _(spark, sf):
-    kept, deleted = lifecycle.purge_older_than(bind(spark, sf, "usage_events"), AS_OF, 20)
-    return kept.agg(F.count("*").alias("rows")).select(F.lit("kept").alias("outcome"), "rows").unionByName(
-        deleted.select(F.lit("deleted").alias("outcome"), F.col("rows_deleted").alias("rows")))
+    """What the table has after the job, and the job's count. The cutoff falls within a day."""
+    path = loaded_table(spark, sf)
+    [deleted] = dated_tables.purge_table(spark, path, "timestamp", dated_tables.USAGE_DDL, "2024-01-31 12:30:00", 20).first()
+    return tables.read_usage_events(spark, path).withColumn("rows_deleted", F.lit(deleted).cast("long"))
 
 
-@query("prune_before", needs=UE, sql="""
-SELECT count(*) FILTER (timestamp < TIMESTAMP '2024-01-12 00:00:00') AS removed_events,
-  count(*) FILTER (timestamp >= TIMESTAMP '2024-01-12 00:00:00') AS remaining_events,
-  '' AS last_shift_export_key, '' AS last_daily_export_date FROM usage_events""")
+@query("prune_before", needs=UE, ctes=_LOADED, sql="""
+SELECT id, timestamp, (SELECT count(*) FROM loaded WHERE timestamp < TIMESTAMP '2024-01-12 00:00:00') AS removed_events,
+  (SELECT count(*) FROM loaded WHERE timestamp >= TIMESTAMP '2024-01-12 00:00:00') AS remaining_events,
+  '' AS last_shift_export_key, '' AS last_daily_export_date FROM loaded WHERE timestamp >= TIMESTAMP '2024-01-12 00:00:00'""")
 def _(spark, sf):
-    return lifecycle.prune_before(bind(spark, sf, "usage_events"), "2024-01-12 00:00:00")[1]
+    path = loaded_table(spark, sf)
+    done = dated_tables.prune_table(spark, path, "timestamp", dated_tables.USAGE_DDL, "2024-01-12 00:00:00")
+    return tables.read_usage_events(spark, path).select("id", "timestamp").join(done, F.lit(True))  # one row
+
+
+@query("purge_rows", needs=UE, sql="""
+SELECT id, (SELECT count(*) FROM usage_events WHERE timestamp < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY) AS rows_deleted
+FROM usage_events WHERE timestamp >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY""")
+def _(spark, sf):
+    """The same on frames."""
+    kept, deleted = lifecycle.purge_older_than(bind(spark, sf, "usage_events"), AS_OF, 20)
+    return kept.select("id").join(deleted, F.lit(True))  # one row
+
+
+@query("table_constraints", needs=UE, sql="""
+SELECT part, rule, count(*) AS rows FROM planted, LATERAL (SELECT unnest([
+  CASE WHEN type IS NULL THEN 'type_not_null' END, CASE WHEN type NOT IN ('app', 'web') THEN 'type_known' END,
+  CASE WHEN length(app_name) > 255 THEN 'app_name_length' END, CASE WHEN duration_seconds < 0 THEN 'duration_range' END,
+  CASE WHEN CAST(timestamp AS DATE) <> event_date THEN 'event_date_of_timestamp' END]) AS rule) r
+WHERE rule IS NOT NULL GROUP BY part, rule""", ctes="""planted AS (SELECT id,
+  CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN 'note' ELSE type END AS type,
+  CASE WHEN id % 23 = 0 THEN repeat(app_name, 60) ELSE app_name END AS app_name,
+  CASE WHEN id % 29 = 0 THEN -1 WHEN id % 31 = 0 THEN NULL ELSE duration_seconds END AS duration_seconds,
+  CASE WHEN id % 37 = 0 THEN timestamp + INTERVAL 1 DAY ELSE timestamp END AS timestamp, CAST(timestamp AS DATE) AS event_date, id % 4 AS part
+  FROM usage_events)""")
+def _(spark, sf):
+    """Rows that break a rule, by part, of a table with faults in every column that has a rule of its own."""
+    rows = tables.table_rows(bind(spark, sf, "usage_events"), timestamp_lit(AS_OF))
+    faulty = rows.withColumns({
+        "part": F.col("id") % 4,
+        "type": F.expr("CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN 'note' ELSE type END"),
+        "app_name": F.expr("CASE WHEN id % 23 = 0 THEN repeat(app_name, 60) ELSE app_name END"),
+        "duration_seconds": F.expr("CASE WHEN id % 29 = 0 THEN -1 WHEN id % 31 = 0 THEN NULL ELSE duration_seconds END"),
+        "timestamp": F.expr("CASE WHEN id % 37 = 0 THEN timestamp + INTERVAL '1' DAY ELSE timestamp END")})
+    path = scratch_dir(spark, "faulty")
+    faulty.write.parquet(path)
+    return tables.broken_rules(spark.read.parquet(path), by=["part"])
+
+
+@query("range_summary", needs=UE, sql="""
+SELECT type, count(*) AS event_count, count(DISTINCT app_name) AS exact_apps, count(DISTINCT url) AS exact_urls, true AS apps_within, true AS urls_within
+FROM usage_events WHERE CAST(timestamp AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-28' GROUP BY type""")
+def _(spark, sf):
+    """Three weeks from stored days; the estimates are held against exact counts within the error that is stated."""
+    events, path = bind(spark, sf, "usage_events"), scratch_dir(spark, "sketches")
+    plans.daily_sketches(events).write.parquet(path)
+    found = plans.range_summary(spark.read.parquet(path), "2024-01-08", "2024-01-28")
+    exact = filters.in_week(events, "2024-01-08", "2024-01-28").groupBy("type").agg(
+        F.count_distinct("app_name").alias("exact_apps"), F.count_distinct("url").alias("exact_urls"))
+
+    def within(name):
+        return (F.abs(F.col(f"unique_{name}") - F.col(f"exact_{name}")) <= plans.SKETCH_ERROR * F.col(f"exact_{name}")).alias(f"{name}_within")
+
+    return found.join(exact, "type").select("type", "event_count", "exact_apps", "exact_urls", within("apps"), within("urls"))
 
 
 @query("archive_week", needs=UE, sql="""

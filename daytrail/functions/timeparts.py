@@ -98,17 +98,41 @@ def event_date(ts: Column) -> Column:
     return ts.cast("date")
 
 
-def shift_id(ts: Column) -> Column:
-    """Eight-hour shift 1, 2 or 3; each starts at its first hour and excludes its last."""
-    return (F.floor(F.hour(ts) / F.lit(SHIFT_HOURS)) + 1).cast("int")
+def timestamp_local(ts: Column, zone: str) -> Column:
+    """A UTC time on the clocks of a zone. Two times an hour apart may read alike when clocks go back."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
 
 
-def shift_start(day: Column, shift: Column) -> Column:
-    return day.cast("timestamp_ntz") + F.make_dt_interval(hours=(shift - 1) * SHIFT_HOURS)
+def timestamp_utc(local: Column, zone: str) -> Column:
+    """A zone's clock time in UTC: the first of two, and where clocks skip it, the time as long after the gap's start."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
 
 
-def shift_end(day: Column, shift: Column) -> Column:
-    return day.cast("timestamp_ntz") + F.make_dt_interval(hours=shift * SHIFT_HOURS)
+def shift_id(ts: Column, zone: str | None = None) -> Column:
+    """Eight-hour shift 1, 2 or 3; each starts at its first hour and excludes its last. With a zone, by its clocks."""
+    local = ts if zone is None else timestamp_local(ts, zone)
+    return (F.floor(F.hour(local) / F.lit(SHIFT_HOURS)) + 1).cast("int")
+
+
+def shift_day(ts: Column, zone: str) -> Column:
+    """The zone's calendar day a shift belongs to."""
+    return timestamp_local(ts, zone).cast("date")
+
+
+def _clock(day: Column, hours: Column, zone: str | None) -> Column:
+    local = day.cast("timestamp_ntz") + F.make_dt_interval(hours=hours)
+    return local if zone is None else timestamp_utc(local, zone)
+
+
+def shift_start(day: Column, shift: Column, zone: str | None = None) -> Column:
+    """First time of a shift, in UTC. With a zone a shift begins by its clocks, so the one that a clock change falls into lasts
+    seven or nine hours."""
+    return _clock(day, (shift - 1) * SHIFT_HOURS, zone)
+
+
+def shift_end(day: Column, shift: Column, zone: str | None = None) -> Column:
+    """First time after a shift, in UTC."""
+    return _clock(day, shift * SHIFT_HOURS, zone)
 
 
 def shift_order(day: Column, shift: Column) -> Column:

@@ -187,3 +187,26 @@ def latency_stats(df: DataFrame, value: str, ts: str, by: str | None = None, err
         (F.col("operations") / F.greatest(F.col("total_seconds"), F.lit(0.001))).alias("per_second"),
         (F.col("_sum") / F.col("operations")).alias("avg_value"),
         *PERCENTILES, "max_value", "error_count")
+
+
+SKETCH_BITS = 14
+# Three standard errors of a HyperLogLog sketch of 2 ** SKETCH_BITS registers, which is 1.04 over the root of their number.
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def daily_sketches(events: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Events, and sketches of the distinct applications and URLs, per day and type: rows to be stored once a day is over."""
+    return events.groupBy(F.col(ts).cast("date").alias("date"), "type").agg(
+        F.count("*").alias("event_count"), F.hll_sketch_agg("app_name", SKETCH_BITS).alias("apps"),
+        F.hll_sketch_agg("url", SKETCH_BITS).alias("urls"))
+
+
+def range_summary(sketches: DataFrame, first: dt.date | str, last: dt.date | str) -> DataFrame:
+    """Events and distinct applications and URLs per type from `first` to `last`, by merging stored days.
+
+    The counts of distinct values are estimates; SKETCH_ERROR of the count bounds their error in all but a few of a thousand cases.
+    """
+    days = sketches.where(F.col("date").between(F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")))
+    return days.groupBy("type").agg(
+        F.sum("event_count").alias("event_count"), F.hll_sketch_estimate(F.hll_union_agg("apps")).alias("unique_apps"),
+        F.hll_sketch_estimate(F.hll_union_agg("urls")).alias("unique_urls"))

@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytrail.functions.timeparts import date_lit
-from daytrail.schemas import FACT_COLUMNS
+from daytrail.functions.timeparts import date_lit, timestamp_lit
+from daytrail.operators.lifecycle import RETENTION_DAYS
+from daytrail.schemas import EVENTS_DDL, FACT_COLUMNS
 from daytrail.session import scratch_dir
 from daytrail.sources.tables import remove_path, table_exists
 
@@ -24,6 +25,7 @@ DAY_COLUMN = "event_date"
 # The time that says which day a row belongs to.
 FACT_TIMES = {"app_usage": "started_at", "website_visits": "visited_at", "website_usage": "started_at",
               "media_playback": "started_at", "media_track_change": "changed_at"}
+USAGE_DDL = EVENTS_DDL.removesuffix(f", {DAY_COLUMN} DATE")  # of the events table, which is a table by day as well
 LOG_DDL = ("timestamp TIMESTAMP_NTZ, category STRING, source STRING, item STRING, event_type STRING, duration_seconds LONG, "
            "window STRING, url STRING, shift_id INT, event_key STRING")
 
@@ -105,6 +107,56 @@ def compact_days(spark: SparkSession, path: str, ts: str, ddl: str, most_files:
     return days
 
 
+def drop_before(spark: SparkSession, path: str, ts: str, ddl: str, cutoff: dt.datetime | str) -> tuple[int, int]:
+    """Remove a table's rows from before the cutoff; returns (rows removed, rows left). Rows without a time stay.
+
+    Days before the cutoff's go as folders, and their rows are counted from the files' footers; so are the rows of days that stay.
+    Only the day the cutoff falls into is read and written again. A run that is cut off is finished by the next one.
+    """
+    moment = dt.datetime.fromisoformat(cutoff) if isinstance(cutoff, str) else cutoff
+    files = day_files(spark, path)
+    old = [d for d in files if d is not None and d < moment.date()]
+    border = moment.date() if moment.time() != dt.time() and moment.date() in files else None
+    removed = _footer_rows(spark, [f for d in old for f in files[d]])
+    left = _footer_rows(spark, [f for d, held in files.items() if d not in old and d != border for f in held])
+    if border:
+        day = read_days(spark, path, ddl).where(F.col(DAY_COLUMN) == date_lit(border))
+        kept = F.count_if(F.coalesce(F.col(ts) >= timestamp_lit(moment), F.lit(True)))
+        all_rows, stay = day.agg(F.count("*"), kept).first()
+        removed, left = removed + all_rows - stay, left + stay
+        if not stay:
+            remove_path(spark, f"{path}/{DAY_COLUMN}={border}")
+        elif stay < all_rows:
+            copy = scratch_dir(spark, "border")
+            try:
+                write_days(day.where(F.col(ts) >= timestamp_lit(moment)).drop(DAY_COLUMN), copy, ts)
+                read_days(spark, copy, ddl).sortWithinPartitions(ts).write.mode("overwrite").option(
+                    "partitionOverwriteMode", "dynamic").partitionBy(DAY_COLUMN).parquet(path)
+            finally:
+                remove_path(spark, copy)
+    for day in old:
+        remove_path(spark, f"{path}/{DAY_COLUMN}={day}")
+    return removed, left
+
+
+def _footer_rows(spark: SparkSession, files: list[str]) -> int:
+    """Rows of Parquet files. A count without columns opens footers only."""
+    return spark.read.schema("_none INT").parquet(*files).count() if files else 0
+
+
+def purge_table(spark: SparkSession, path: str, ts: str, ddl: str, as_of: dt.datetime | str, days: int = RETENTION_DAYS) -> DataFrame:
+    """Retention as a job: one row with `rows_deleted`. The exact cutoff stays."""
+    moment = dt.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    removed, _ = drop_before(spark, path, ts, ddl, moment - dt.timedelta(days=days))
+    return spark.createDataFrame([(removed,)], "rows_deleted LONG")
+
+
+def prune_table(spark: SparkSession, path: str, ts: str, ddl: str, cutoff: dt.datetime | str) -> DataFrame:
+    """Pruning as a job: one summary row; the export state starts anew."""
+    removed, left = drop_before(spark, path, ts, ddl, cutoff)
+    return spark.createDataFrame([(removed, left, "", "")], "removed_events LONG, remaining_events LONG, last_shift_export_key STRING, last_daily_export_date STRING")
+
+
 def row_groups_in_order(spark: SparkSession, files: Sequence[str], ts: str) -> bool:
     """Whether no file has a row behind a later one, which is what lets a scan skip row groups."""
     rows = spark.read.parquet(*files).select(F.col(ts).alias("_ts"), "_metadata.file_path", "_metadata.row_index")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,16 @@ def unknown_rows(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in EVENT_IDENTITY], "left_anti")
 
 
-def touched_days(df: DataFrame, table: DataFrame) -> DataFrame:
-    """The table's partitions from the first to the last day in `df`."""
-    first, last = df.agg(F.min("event_date"), F.max("event_date")).first()
-    return table.where(F.lit(False) if first is None else F.col("event_date").between(date_lit(first), date_lit(last)))
+def touched_days(df: DataFrame, table: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table's partitions of the days in `df`, so that one stray old row costs one more day.
+
+    Days are few: at most one for each partition of the table. Above `most`, all from the first to the last are taken.
+    """
+    days = sorted(r[0] for r in df.select("event_date").distinct().limit(most + 1).collect() if r[0] is not None)
+    if len(days) > most:
+        first, last = df.agg(F.min("event_date"), F.max("event_date")).first()
+        return table.where(F.col("event_date").between(date_lit(first), date_lit(last)))
+    return table.where(F.col("event_date").isin(*map(date_lit, days)) if days else F.lit(False))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -121,6 +128,43 @@ def check_table_schema(spark: SparkSession, actual: DataFrame | None, expected_d
     return spark.createDataFrame(problems, "column_name STRING, problem STRING")
 
 
+# The rules of the events table.
+EVENT_RULES = {
+    "type_not_null": "type IS NOT NULL",
+    "timestamp_not_null": "timestamp IS NOT NULL",
+    "type_known": "type IN ('app', 'web')",
+    "app_name_length": "length(app_name) <= 255",
+    "window_title_length": "length(window_title) <= 1000",
+    "url_length": "length(url) <= 2000",
+    "title_length": "length(title) <= 1000",
+}
+# Rules of our own: what the loading promises beyond those.
+LOAD_RULES = {
+    "event_key_not_null": "event_key IS NOT NULL",
+    "duration_range": "duration_seconds BETWEEN 0 AND 86400",
+    "event_date_of_timestamp": "event_date = CAST(timestamp AS DATE)",
+}
+
+
+def broken_rules(df: DataFrame, rules: dict[str, str] | None = None, by: Sequence[Column | str] = ()) -> DataFrame:
+    """(`by`, rule, rows): how many rows break each rule, by file if `by` says so; rules that hold have no row.
+
+    One pass over the columns the rules name. As with a CHECK constraint, a rule that is neither true nor false holds.
+    """
+    rules = rules or {**EVENT_RULES, **LOAD_RULES}
+    counts = df.groupBy(*by).agg(*[F.count_if(~F.coalesce(F.expr(rule), F.lit(True))).alias(name) for name, rule in rules.items()])
+    names = [c for c in counts.columns if c not in rules]
+    return counts.unpivot(names, list(rules), "rule", "rows").where("rows > 0")
+
+
+def drifted_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(column_name, kind, rows): values of a frame as it was delivered, such as a file of text, that are not of their column's kind."""
+    bad = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull()).alias(c) for c, kind in kinds.items()]
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return df.agg(*bad).unpivot([], list(kinds), "column_name", "rows").where("rows > 0").select(
+        "column_name", kind[F.col("column_name")].alias("kind"), "rows")
+
+
 def archive_week(spark: SparkSession, path: str, archive: str, week_start: dt.date | str) -> None:
     """Move a week's rows to `archive/week=<start>`; the rest of the table is not touched.
 
