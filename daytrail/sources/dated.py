@@ -117,8 +117,9 @@ def drop_before(spark: SparkSession, path: str, ts: str, ddl: str, cutoff: dt.da
     files = day_files(spark, path)
     old = [d for d in files if d is not None and d < moment.date()]
     border = moment.date() if moment.time() != dt.time() and moment.date() in files else None
-    removed = _footer_rows(spark, [f for d in old for f in files[d]])
-    left = _footer_rows(spark, [f for d, held in files.items() if d not in old and d != border for f in held])
+    counts = _day_counts(spark, path, ddl) if files else {}
+    removed = sum(n for d, n in counts.items() if d in old)
+    left = sum(n for d, n in counts.items() if d not in old and (d is None or d != border))
     if border:
         day = read_days(spark, path, ddl).where(F.col(DAY_COLUMN) == date_lit(border))
         kept = F.count_if(F.coalesce(F.col(ts) >= timestamp_lit(moment), F.lit(True)))
@@ -139,9 +140,9 @@ def drop_before(spark: SparkSession, path: str, ts: str, ddl: str, cutoff: dt.da
     return removed, left
 
 
-def _footer_rows(spark: SparkSession, files: list[str]) -> int:
-    """Rows of Parquet files. A count without columns opens footers only."""
-    return spark.read.schema("_none INT").parquet(*files).count() if files else 0
+def _day_counts(spark: SparkSession, path: str, ddl: str) -> dict[dt.date | None, int]:
+    """Rows of each day. No column of the files is read, so their footers tell."""
+    return {r[0]: r[1] for r in read_days(spark, path, ddl).groupBy(DAY_COLUMN).count().collect()}
 
 
 def purge_table(spark: SparkSession, path: str, ts: str, ddl: str, as_of: dt.datetime | str, days: int = RETENTION_DAYS) -> DataFrame:

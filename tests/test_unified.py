@@ -157,59 +157,69 @@ def facts(spark, apps=(), sites=(), visits=(), media=()):
             "media_playback": table(list(media), unified.FACT_COLUMNS["media_playback"])}
 
 
-D = "2026-03-17T"
-CODE_ROW = (D + "10:01:00Z", D + "10:00:00Z", D + "10:30:00Z", "1800", "code.exe", "Visual Studio Code", "tracker")
+def span(day, start, end, seconds):
+    """Columns logged_at, started_at, ended_at, duration_seconds."""
+    return (f"{day}T{end}:30Z", f"{day}T{start}:00Z", f"{day}T{end}:00Z", str(seconds))
+
+
+# Our own rules, so that what a name is classed as is told here.
+RULES = [("app", "ledger", "productive"), ("domain", "tides.example.org", "productive"), ("domain", "games.example.net", "unproductive")]
 
 
 @pytest.fixture
 def day_facts(spark):
+    """A row that came twice, two visits to one page, and a player's track that no rule names."""
+    ledger = (*span("2025-11-05", "06:20", "06:55", 2100), "ledger-bin", "Ledger", "accounts of October")
     return facts(
         spark,
-        [CODE_ROW, CODE_ROW, (D + "11:01:00Z", D + "11:00:00Z", D + "11:10:00Z", "600", "chrome.exe", "Google Chrome", "Search")],
-        [(D + "10:30:00Z", D + "10:00:00Z", D + "10:30:00Z", "600", "chrome", "google.com", "https://www.google.com/search?q=python%20docs", "python docs", "active_window"),
-         (D + "10:45:00Z", D + "10:30:00Z", D + "10:45:00Z", "900", "chrome", "youtube.com", "https://www.youtube.com/watch?v=abc", "lofi beats", "active_window")],
-        [(D + "10:05:00Z", D + "10:05:00Z", "chrome", "google.com", "https://www.google.com/search?q=python%20docs", "python docs", "history"),
-         (D + "10:06:00Z", D + "10:06:00Z", "chrome", "google.com", "https://www.google.com/search?q=python%20docs", "python docs", "history"),
-         (D + "10:07:00Z", D + "10:07:00Z", "chrome", "github.com", "https://github.com/", "repo", "history")],
-        [(D + "10:20:00Z", D + "10:10:00Z", D + "10:20:00Z", "600", "YouTube Music", "Lofi Mix", "Various", "playing")])
+        [ledger, ledger, (*span("2025-11-05", "07:00", "07:05", 300), "viewer", "Chart Viewer", "harbour")],
+        [(*span("2025-11-05", "07:10", "07:14", 240), "netfox", "tides.example.org", "https://tides.example.org/today", "Tides", "window"),
+         (*span("2025-11-05", "07:20", "07:40", 1200), "netfox", "games.example.net", "https://games.example.net/r", "Reversi", "window")],
+        [("2025-11-05T07:11:00Z", "2025-11-05T07:11:00Z", "netfox", "duckduckgo.com", "https://duckduckgo.com/?q=tide+tables", "tide tables", "file"),
+         ("2025-11-05T07:12:00Z", "2025-11-05T07:12:00Z", "netfox", "duckduckgo.com", "https://duckduckgo.com/?q=tide+tables", "tide tables", "file"),
+         ("2025-11-05T07:13:00Z", "2025-11-05T07:13:00Z", "netfox", "tides.example.org", "https://tides.example.org/today", "Tides", "file")],
+        [(*span("2025-11-05", "06:30", "06:50", 1200), "Jukebox", "Ambient Harbour", "Foghorns", "playing")])
 
 
 def test_daily_reports(spark, day_facts):
-    day = dt.date(2026, 3, 17)
-    apps = {r.app_name: r.total_seconds for r in daily.app_time(day_facts["app_usage"], day).collect()}
-    assert apps["Visual Studio Code"] == 1800
+    day, rules = dt.date(2025, 11, 5), spark.createDataFrame(RULES, "kind STRING, name STRING, activity STRING")
+    assert {r.app_name: r.total_seconds for r in daily.app_time(day_facts["app_usage"], day).collect()} == {"Ledger": 2100, "Chart Viewer": 300}
     assert daily.count_app_sessions(day_facts["app_usage"], day).first().sessions == 2
-    assert {r.domain: r.total_seconds for r in daily.website_time(day_facts["website_usage"], day).collect()}["google.com"] == 600
-    details = daily.website_details(day_facts["website_visits"], day).where("domain = 'google.com'").collect()
-    assert [r.url for r in details] == ["https://www.google.com/search?q=python%20docs"]
-    assert daily.media_time(day_facts["media_playback"], day).first().title == "Lofi Mix"
-    assert [(r.search_query, r.visits) for r in daily.daily_searches(day_facts["website_visits"], day).collect()] == [("python docs", 2)]
-    rules = daily.default_rules(spark)
-    named = spark.createDataFrame([("app", "Visual Studio Code"), ("domain", "github.com"), ("media", "Lofi Mix - Various"), ("app", "x")], "kind STRING, name STRING")
-    classes = {r.name: r.activity for r in daily.classify_activity(named, rules).collect()}
-    assert classes == {"Visual Studio Code": "productive", "github.com": "productive", "Lofi Mix - Various": "productive", "x": "neutral"}
+    assert {r.domain: r.total_seconds for r in daily.website_time(day_facts["website_usage"], day).collect()} == {
+        "tides.example.org": 240, "games.example.net": 1200}
+    assert {(r.domain, r.url): r.visits for r in daily.website_details(day_facts["website_visits"], day).collect()} == {
+        ("duckduckgo.com", "https://duckduckgo.com/?q=tide+tables"): 2, ("tides.example.org", "https://tides.example.org/today"): 1}
+    assert [(r.title, r.artist, r.total_seconds) for r in daily.media_time(day_facts["media_playback"], day).collect()] == [("Ambient Harbour", "Foghorns", 1200)]
+    assert [(r.search_query, r.visits) for r in daily.daily_searches(day_facts["website_visits"], day).collect()] == [("tide tables", 2)]
+    named = spark.createDataFrame([("app", "LEDGER"), ("domain", "games.example.net"), ("media", "Ambient Harbour - Foghorns"), ("media", "Reversi"), ("app", "other")],
+                                  "kind STRING, name STRING")
+    assert {r.name: r.activity for r in daily.classify_activity(named, rules).collect()} == {
+        "LEDGER": "productive", "games.example.net": "unproductive", "Ambient Harbour - Foghorns": "productive", "Reversi": "neutral", "other": "neutral"}
     score = daily.productivity_score(day_facts, day, rules).first()
-    assert 0 <= score.score <= 100 and score.searches == 1 and score.productive_seconds == 2400
+    assert (score.productive_seconds, score.neutral_seconds, score.unproductive_seconds, score.searches) == (3540, 300, 1200, 1)
+    assert score.score == pytest.approx(100 * 3540 / 5040)
     insights = {r.insight: (r.subject, r.value) for r in daily.productivity_insights(day_facts, day, rules).collect()}
-    assert insights["top_app"] == ("Visual Studio Code", 1800.0) and insights["mean_session_seconds"][1] == 1200.0
-    empty = daily.productivity_score(day_facts, "2026-03-18", rules).first()
-    assert empty.score == 0
+    assert insights["top_app"] == ("Ledger", 2100.0) and insights["top_site"] == ("games.example.net", 1200.0)
+    assert insights["mean_session_seconds"][1] == 1200.0 and insights["distraction_share"][1] == pytest.approx(100 * 1200 / 5040)
+    assert daily.productivity_score(day_facts, "2025-11-06", rules).first().score == 0
 
 
 def test_weekly_reports(spark):
-    w = facts(
+    """Monday to Sunday; a row before the week and one after it stay out."""
+    outside = [(*span(day, "12:00", "12:01", 60), "clock", "Clock", "") for day in ("2025-11-02", "2025-11-10")]
+    week = facts(
         spark,
-        [("2026-03-16T09:00:00Z", "2026-03-16T09:00:00Z", "2026-03-16T10:00:00Z", "3600", "code.exe", "Visual Studio Code", "t"),
-         ("2026-03-18T09:00:00Z", "2026-03-18T09:00:00Z", "2026-03-18T10:00:00Z", "7200", "chrome.exe", "Google Chrome", "docs"),
-         ("2026-03-23T00:00:00Z", "2026-03-23T00:00:00Z", "2026-03-23T10:00:00Z", "1", "x", "Later", "t")],
-        [("2026-03-16T09:30:00Z", "2026-03-16T09:00:00Z", "2026-03-16T09:30:00Z", "1800", "chrome", "github.com", "https://github.com", "repo", "a")],
-        media=[("2026-03-16T09:45:00Z", "2026-03-16T09:40:00Z", "2026-03-16T09:45:00Z", "300", "Spotify", "Focus Track", "Artist", "playing")])
-    assert {r.app_name: r.total_seconds for r in daily.weekly_apps(w["app_usage"], "2026-03-16").collect()} == {"Visual Studio Code": 3600, "Google Chrome": 7200}
-    assert daily.weekly_websites(w["website_usage"], "2026-03-16").first().total_seconds == 1800
-    assert daily.weekly_media(w["media_playback"], "2026-03-16").first().track.startswith("Spotify | Focus Track")
-    assert daily.weekly_total(w["app_usage"], "2026-03-16", "2026-03-22").first().total_seconds == 10800
-    report = {(r.metric, r.key): r.value for r in daily.weekly_report(w, "2026-03-16", daily.default_rules(spark)).collect()}
-    assert report["day_seconds", "total"] == 10800 and report["productivity_score", None] > 0
+        [(*span("2025-11-03", "00:00", "01:30", 5400), "ledger-bin", "Ledger", "a"), (*span("2025-11-09", "23:10", "23:50", 2400), "viewer", "Chart Viewer", "b"), *outside],
+        [(*span("2025-11-05", "07:10", "07:25", 900), "netfox", "tides.example.org", "https://tides.example.org/", "Tides", "window")],
+        media=[(*span("2025-11-04", "20:00", "20:03", 180), "Jukebox", "Slow Swell", "Foghorns", "playing")])
+    start, rules = "2025-11-03", spark.createDataFrame(RULES, "kind STRING, name STRING, activity STRING")
+    assert {r.app_name: r.total_seconds for r in daily.weekly_apps(week["app_usage"], start).collect()} == {"Ledger": 5400, "Chart Viewer": 2400}
+    assert [(r.domain, r.total_seconds) for r in daily.weekly_websites(week["website_usage"], start).collect()] == [("tides.example.org", 900)]
+    assert daily.weekly_media(week["media_playback"], start).first().track == "Jukebox | Slow Swell - Foghorns"
+    assert daily.weekly_total(week["app_usage"], start, "2025-11-09").first().total_seconds == 7800
+    report = {(r.metric, r.key): r.value for r in daily.weekly_report(week, start, rules).collect()}
+    assert report["day_seconds", "2025-11-03"] == 5400 and report["day_seconds", "total"] == 7800
+    assert report["productivity_score", None] == pytest.approx(100 * 6300 / 8880)
 
 
 def test_weekly_update_day(normal):
