@@ -12,7 +12,7 @@ from daytrail.operators import unified
 from daytrail.plans import daily
 from daytrail.schemas import DAILY_CSV_COLUMNS, FACT_COLUMNS
 from daytrail.session import scratch_dir
-from daytrail.sources import collect, dated, files, lines
+from daytrail.sources import archive, collect, dated, files, lines
 
 PAYLOAD = ("payload_rows",)
 _ROW = 'timestamp, category, source, item, event_type, duration_seconds, "window", url'
@@ -71,6 +71,22 @@ def _(spark, sf):
     return unified.facts_as_payload(unified.fan_out_facts(typed))
 
 
+_TIMES = {"app_usage": "started_at", "website_visits": "visited_at", "website_usage": "started_at", "media_playback": "started_at", "media_track_change": "changed_at"}
+
+
+@query("archive_facts", needs=tuple(FACT_COLUMNS), sql="\nUNION ALL BY NAME ".join(
+    _fact_sql(t, e).replace(f"FROM {t}", f", CASE WHEN CAST({_TIMES[t]} AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' THEN 'archive' ELSE 'live' END AS part FROM {t}")
+    for t, e in unified.FACT_TYPES.items()))
+def _(spark, sf):
+    """All rows of the five tables, those of one week from its archive."""
+    path, folder = scratch_dir(spark, "facts"), scratch_dir(spark, "archive")
+    dated.write_facts(facts(spark, sf), path)
+    archive.archive_facts(spark, path, folder, DAY)
+    live, old = dated.read_facts(spark, path), archive.read_archive(spark, folder, DAY)
+    parts = [unified.facts_as_payload(held).withColumn("part", F.lit(name)) for name, held in (("live", live), ("archive", old))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("combine_events", needs=("usage_events",), sql="SELECT id, type, app_name, window_title, url, title FROM usage_events")
 def _(spark, sf):
     e = bind(spark, sf, "usage_events")

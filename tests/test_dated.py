@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daytrail.functions.timeparts import timestamp_lit
 from daytrail.plans import daily
-from daytrail.sources import dated, lines, tables
+from daytrail.sources import archive, dated, lines, tables
 from daytrail.streaming.ingest import ingest_batch
 
 DAYS = [dt.date(2026, 5, d) for d in range(1, 8)]
@@ -125,3 +125,52 @@ def test_lines_of_two_users_are_two_rows(spark, tmp_path):
     assert sorted((r.user_id or 0, r.id) for r in table.collect()) == [(0, 5), (7, 1), (8, 2)]
     assert sorted(r.reasons[0] for r in spark.read.parquet(rejects).collect()) == ["id_invalid", "user_id_invalid"]
     assert table.where(F.col("created_at") == timestamp_lit("2026-05-02 00:00:00")).count() == 3
+
+
+# Archive of a week
+
+STEPS = ["_plan", "_copy", "_commit", "_delete", "_finish"]
+
+
+def everything(spark, store, folder):
+    """Rows by table, live and archived."""
+    old = archive.read_archive(spark, folder, DAYS[0])
+    return {t: rows(df.drop("event_date").unionByName(old[t].drop("event_date"))) for t, df in dated.read_facts(spark, store).items()}
+
+
+def test_archive_moves_a_week_of_all_tables(spark, facts, store, tmp_path):
+    folder, before = str(tmp_path / "archive"), everything(spark, store, str(tmp_path / "archive"))
+    late = facts["media_track_change"].limit(3)
+    dated.write_days(facts["app_usage"].limit(1).withColumn("started_at", F.col("started_at") + F.expr("INTERVAL '40' DAY")), f"{store}/app_usage", "started_at")
+    assert archive.archive_facts(spark, store, folder, DAYS[0]) == 1
+    live = {t: df.count() for t, df in dated.read_facts(spark, store).items()}
+    assert live == {"app_usage": 2, "website_visits": 0, "website_usage": 0, "media_playback": 0, "media_track_change": 0}  # the timeless one and the later one
+    dated.write_days(late, f"{store}/media_track_change", "changed_at")
+    assert archive.archive_facts(spark, store, folder, DAYS[0]) == 2 and archive.archive_facts(spark, store, folder, DAYS[0]) == 2
+    after = everything(spark, store, folder)
+    assert after["media_track_change"] == sorted(before["media_track_change"] + rows(late))
+    assert len(after["app_usage"]) == len(before["app_usage"]) + 1 and after["website_visits"] == before["website_visits"]
+    assert archive.unfinished(spark, folder, DAYS[0]) == []
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+@pytest.mark.parametrize("step", STEPS)
+def test_archive_recovers_from_any_step(spark, facts, tmp_path, monkeypatch, step, when):
+    """A run is cut off just before or just after a step; the next run leaves each row in one place."""
+    store, folder = str(tmp_path / "facts"), str(tmp_path / "archive")
+    dated.write_facts({t: facts[t].limit(30) for t in ("app_usage", "media_playback")}, store)
+    before = everything(spark, store, folder)
+    real = getattr(archive, step)
+
+    def cut(*args):
+        if when == "after":
+            real(*args)
+        raise InterruptedError
+
+    monkeypatch.setattr(archive, step, cut)
+    with pytest.raises(InterruptedError):
+        archive.archive_facts(spark, store, folder, DAYS[0])
+    monkeypatch.setattr(archive, step, real)
+    archive.archive_facts(spark, store, folder, DAYS[0])
+    assert everything(spark, store, folder) == before and archive.unfinished(spark, folder, DAYS[0]) == []
+    assert dated.read_facts(spark, store)["media_playback"].isEmpty()
