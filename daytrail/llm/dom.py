@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # HTML's element kinds, as far as they matter for blocks.
@@ -26,10 +27,11 @@ _HUMPS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 @dataclass
 class Block:
-    """`tags`: open elements, outermost first; `names`: words of their classes, ids and roles; `linked`: characters inside links."""
+    """`tags`: open elements, `inner` the innermost; `names`: words of their classes, ids and roles; `linked`: characters inside links."""
 
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    inner: str
     names: frozenset[str]
     linked: int
     marked: bool
@@ -47,25 +49,35 @@ def blocks(page: str) -> list[Block]:
     """The blocks that have text, in page order, with references decoded and white space turned into single blanks."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str], bool]] = []
+    tags: Counter[str] = Counter()  # of the open elements, so that a block under many costs no more than one under few
+    names: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = marks = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            names = frozenset().union(*(s[1] for s in stack))
-            out.append(Block(text, tuple(s[0] for s in stack), names, min(linked, len(text)), any(s[2] for s in stack)))
+            out.append(Block(text, frozenset(tags), stack[-1][0] if stack else "", frozenset(names), min(linked, len(text)), bool(marks)))
         parts.clear()
         linked = 0
 
+    def count(element: tuple[str, frozenset[str], bool], by: int) -> None:
+        nonlocal links, marks
+        for counts, keys in ((tags, element[:1]), (names, element[1])):
+            for key in keys:
+                counts[key] += by
+                if not counts[key]:
+                    del counts[key]
+        links += by * (element[0] == "a")
+        marks += by * element[2]
+
     def close(tag: str) -> None:
-        nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                links -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
-                return
+        if tag in tags:
+            element = None
+            while element is None or element[0] != tag:
+                element = stack.pop()
+                count(element, -1)
 
     while True:
         found = _MARKUP.search(page, at)
@@ -96,15 +108,14 @@ def blocks(page: str) -> list[Block]:
         if ends:
             close(tag)
             continue
-        if block:
+        if block and ("p" in tags or not tags.keys().isdisjoint(CLOSES.get(tag, ()))):
             for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item its sibling
                 if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
                     close(stack[k][0])
                     break
                 if stack[k][0] in SCOPES:
                     break
-        if len(stack) < 256:  # beyond that depth, the outer elements describe a block
-            stack.append((tag, *_names(attributes)))
-            links += tag == "a"
+        stack.append((tag, *_names(attributes)))
+        count(stack[-1], 1)
     flush()
     return out

@@ -37,7 +37,7 @@ def features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
         words = b.text.split()
-        own = [f"t:{t}" for t in {*b.tags}] + [f"in:{b.tags[-1]}" if b.tags else "in:"]
+        own = [f"t:{t}" for t in b.tags] + [f"in:{b.inner}"]
         own += [f"n:{part}" for part in {PART_OF[w] for w in b.names if w in PART_OF}]
         own.append(f"words:{min(len(words).bit_length(), 6)}")
         own.append(f"links:{4 * b.linked // max(len(b.text), 1)}")

@@ -322,3 +322,20 @@ def distinct_documents(docs: DataFrame, near: Near = Near()) -> DataFrame:
     gone = stored(grouped(docs, near).filter(~F.col("stays")).select("__file", "__row"), "duplicates")
     rows = addressed(docs, F.struct(*[docs[c] for c in own]).alias("__doc"))  # so that no name of theirs meets one of these
     return rows.join(gone, ["__file", "__row"], "left_anti").select(*[F.col(f"__doc.`{c}`") for c in own])
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+    SELECT DISTINCT r, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS shingle
+    FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, least(len(words), 1) + 1))) AS i FROM w)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, step.b FROM reach JOIN step ON step.a = reach.b),
+least_id AS (SELECT reach.a AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN least_id USING (r) LEFT JOIN n USING (r)
+"""

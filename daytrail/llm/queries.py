@@ -74,5 +74,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc, op3_html_extraction, op4_quality_rules, op5_top_k_search, op6_source_mixing, op7_near_dedup, op8_lm_scoring, op9_token_binary,
     op10_chat_formatting, op11_fill_in_middle, op12_merkle_manifest, op13_suffix_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op5_top_k_search": topk.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE,
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op5_top_k_search": topk.ORACLE, "op7_near_dedup": near_dedup.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE,
                            "op12_merkle_manifest": merkle.ORACLE, "op13_suffix_dedup": suffix_dedup.ORACLE}

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,13 +106,35 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> DataFram
     return stored(named.mapInArrow(write, "path STRING, bytes LONG"), "archives")
 
 
-def _header(data: bytes, at: int) -> tuple[int, int] | None:
-    """(start of the block, its length) of a record at `at`; None if its head is not that of a record."""
-    head = data.find(END, at)
+def _header(data: bytes, at: int, head: int) -> tuple[int, int] | None:
+    """(start of the block, its length) of a record at `at` whose head ends at `head`; None if that is no record's head."""
     length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
     return (head + 4, int(length[1])) if length and data.startswith(MAGIC, at) else None
 
 
+def _places(data: bytes, what: bytes) -> list[int]:
+    found, at = [], data.find(what)
+    while at >= 0:
+        found.append(at)
+        at = data.find(what, at + 1)
+    return found
+
+
+def heads(data: bytes, size: int) -> Iterator[tuple[int, tuple[int, int] | None]]:
+    """(start, `_header` of it) of each candidate in the first `size` bytes.
+
+    A head has no magic inside, as a line of a head is a field. So of the candidates before one end of a head only the last is looked at,
+    and a payload full of magic costs no more than its length.
+    """
+    starts, ends = _places(data, MAGIC), _places(data, END)
+    for i, at in enumerate(starts):
+        if at >= size:
+            return
+        k = bisect_left(ends, at)
+        own = k < len(ends) and (i + 1 == len(starts) or ends[k] < starts[i + 1])
+        yield at, _header(data, at, ends[k]) if own else None
+
+
 HEAD_BYTES = 1 << 16
 
 
@@ -132,15 +155,15 @@ def candidates(cut: DataFrame) -> DataFrame:
                 with store.open_input_file(path) as file:
                     file.seek(row["first"])
                     data = file.read(size + HEAD_BYTES)
-                    starts, at = [], data.find(MAGIC)
-                    while 0 <= at < size:
-                        starts.append(at)
-                        at = data.find(MAGIC, at + 1)
-                    while starts and data.find(END, starts[-1]) < 0 and (more := file.read(HEAD_BYTES)):
-                        data += more  # a head that is longer still
+                    last, searched = data.rfind(MAGIC, 0, size + len(MAGIC) - 1), 0
+                    while last >= 0 and data.find(END, max(last, searched)) < 0 and data.find(MAGIC, max(last + 1, searched)) < 0:
+                        more = file.read(max(HEAD_BYTES, len(data)))  # a head that is longer still
+                        if not more:
+                            break
+                        searched = len(data) - len(MAGIC)
+                        data += more
                 leaves: dict[int, int | None] = {}
-                for at in reversed(starts):  # a chain only goes forward
-                    head = _header(data, at)
+                for at, head in reversed(list(heads(data, size))):  # a chain only goes forward
                     to = head[0] + head[1] + len(END) if head else None
                     leaves[at] = to if to is None or to >= size else leaves.get(to)
                 out = [{"path": row["path"], "at": row["first"] + at, "next": None if to is None else row["first"] + to}
@@ -183,13 +206,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     data = file.read(row["end"] - row["at"])
                     at, out, held = 0, [], 0
                     while row["at"] + at < row["end"]:
-                        head = _header(data, at)
+                        head = _header(data, at, data.find(END, at))
                         if head is None or head[0] + head[1] + len(END) > len(data):  # goes on behind the range
                             file.seek(row["at"] + at)
                             data, row["at"], at = file.read(HEAD_BYTES), row["at"] + at, 0
                             while data.find(END) < 0 and (more := file.read(HEAD_BYTES)):
                                 data += more
-                            head = _header(data, 0)
+                            head = _header(data, 0, data.find(END))
                             if head is None:
                                 raise ValueError(f"{row['path']}: no record at {row['at']}")
                             data += file.read(max(0, head[0] + head[1] + len(END) - len(data)))
