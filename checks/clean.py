@@ -19,7 +19,7 @@ RAW_OUT = "id, type, app_name, window_title, process_id, url, title, timestamp,
 def _raw_lines(spark, sf):
     """JSON lines of the raw events, some of them cut off, and blank lines."""
     raw = bind(spark, sf, "raw_events")
-    text = lines.event_lines(raw.withColumn("process_id", F.col("id").cast("string")))
+    text = lines.event_lines(raw.withColumns({"process_id": F.col("id").cast("string"), "user_id": F.col("id") % 3}))
     cut = F.when(F.get_json_object("value", "$.process_id").cast("long") % 50 == 0,
                  F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
     return text.select(F.explode(F.array(cut, F.lit("  "))).alias("value"))
@@ -39,7 +39,8 @@ SELECT id % 50 = 0 AS malformed, CASE WHEN id % 50 <> 0 THEN CAST(id AS VARCHAR)
   CASE WHEN id % 50 <> 0 THEN title END AS title, CASE WHEN id % 50 <> 0 THEN timestamp END AS timestamp,
   CASE WHEN id % 50 <> 0 THEN visit_time END AS visit_time,
   CASE WHEN id % 50 <> 0 THEN duration_seconds END AS duration_seconds,
-  CASE WHEN id % 50 <> 0 THEN visit_duration END AS visit_duration FROM raw_events""")
+  CASE WHEN id % 50 <> 0 THEN visit_duration END AS visit_duration, CASE WHEN id % 50 <> 0 THEN CAST(id AS VARCHAR) END AS id,
+  CASE WHEN id % 50 <> 0 THEN CAST(id % 3 AS VARCHAR) END AS user_id FROM raw_events""")
 def _(spark, sf):
     return _raw_with_id(spark, sf).drop("raw_line")
 
@@ -128,13 +129,14 @@ def _(spark, sf):
 
 
 @query("write_rejects", needs=("raw_events",), ctes=duck.VALIDATED,
-       sql="SELECT CAST(id AS VARCHAR) AS id, reasons, 'raw' AS source FROM validated WHERE reasons <> ''")
+       sql=f"SELECT {RAW_OUT}, reasons, 'raw' AS source, TIMESTAMP '2024-01-31 00:00:00' AS rejected_at FROM validated WHERE reasons <> ''")
 def _(spark, sf):
     path = scratch_dir(spark, "rejects")
     _, rejects = validation.clean_events(bind(spark, sf, "raw_events"), timeparts.timestamp_lit(AS_OF))
     tables.write_rejects(rejects, path, "raw", timeparts.timestamp_lit(AS_OF))
-    return spark.read.parquet(path).select(
-        F.get_json_object("raw", "$.id").alias("id"), F.concat_ws(",", "reasons").alias("reasons"), "source")
+    raw = F.from_json("raw", ", ".join(f"{c} {'LONG' if c == 'id' else 'STRING'}" for c in RAW_OUT.split(", ")))
+    return spark.read.parquet(path).select(raw.alias("raw"), "reasons", "source", "rejected_at").select(
+        "raw.*", F.concat_ws(",", "reasons").alias("reasons"), "source", "rejected_at")
 
 
 @query("check_table_schema", sql="""

@@ -71,6 +71,13 @@ def _(spark, sf):
     return unified.facts_as_payload(unified.fan_out_facts(typed))
 
 
+@query("read_fact_logs", needs=tuple(FACT_COLUMNS), sql="\nUNION ALL BY NAME ".join(_fact_sql(t, e) for t, e in unified.FACT_TYPES.items()))
+def _(spark, sf):
+    path = scratch_dir(spark, "facts")
+    files.write_fact_logs(facts(spark, sf), path)
+    return unified.facts_as_payload(files.read_fact_logs(spark, path))
+
+
 _TIMES = {"app_usage": "started_at", "website_visits": "visited_at", "website_usage": "started_at", "media_playback": "started_at", "media_track_change": "changed_at"}
 
 

@@ -174,13 +174,6 @@ _DAY_SITES = f"day_sites AS (SELECT DISTINCT * FROM website_usage WHERE {duck.on
 _DAY_MEDIA = f"day_media AS (SELECT DISTINCT * FROM media_playback WHERE {duck.one_day('started_at', DAY)})"
 
 
-@query("read_fact_logs", needs=("app_usage",), sql="SELECT * FROM app_usage")
-def _(spark, sf):
-    path = scratch_dir(spark, "facts")
-    files.write_fact_logs(facts(spark, sf), path)
-    return files.read_fact_logs(spark, path)["app_usage"]
-
-
 @query("app_time", needs=("app_usage",), ctes=_DAY_APPS,
        sql="SELECT app_name, CAST(sum(duration_seconds) AS BIGINT) AS total_seconds FROM day_apps GROUP BY app_name")
 def _(spark, sf):
@@ -325,13 +318,13 @@ def _(spark, sf):
 
 
 @query("source_inventory", needs=("payload_rows",), sql="""
-SELECT lower(event_type) AS source, count(*) AS lines FROM payload_rows GROUP BY 1""")
+SELECT lower(event_type) AS source, 1::BIGINT AS files, count(*) AS lines FROM payload_rows GROUP BY 1""")
 def _(spark, sf):
     path = scratch_dir(spark, "inventory")
     rows = unified.normalize_event(bind(spark, sf, "payload_rows"))
     for kind in ("APP_USAGE", "WEBSITE_USAGE", "WEBSITE_VISIT", "MEDIA_PLAYBACK"):
-        lines.write_structured_log(rows.where(F.col("event_type") == kind), f"{path}/{kind.lower()}")
-    return lines.source_inventory(spark, path, "*.txt").drop("files")
+        lines.write_structured_log(rows.where(F.col("event_type") == kind).coalesce(1), f"{path}/{kind.lower()}")
+    return lines.source_inventory(spark, path, "*.txt")
 
 
 # Retention
@@ -413,15 +406,14 @@ def _(spark, sf):
 
 @query("archive_week", needs=UE, sql="""
 SELECT CASE WHEN CAST(timestamp AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' THEN 'archive' ELSE 'live' END AS part,
-  CAST(timestamp AS DATE) AS event_date, count(*) AS rows FROM usage_events GROUP BY 1, 2""")
+  CAST(timestamp AS DATE) AS event_date, id, user_id, url, duration_seconds FROM usage_events""")
 def _(spark, sf):
     path, archive = loaded_table(spark, sf), scratch_dir(spark, "archive")
     tables.archive_week(spark, path, archive, WEEK)
     live = tables.read_usage_events(spark, path)
     old = tables.read_usage_events(spark, f"{archive}/week={WEEK}")
-    return live.select(F.lit("live").alias("part"), "event_date").unionByName(
-        old.select(F.lit("archive").alias("part"), "event_date")).groupBy("part", "event_date").agg(
-        F.count("*").alias("rows"))
+    columns = ["event_date", "id", "user_id", "url", "duration_seconds"]
+    return live.select(F.lit("live").alias("part"), *columns).unionByName(old.select(F.lit("archive").alias("part"), *columns))
 
 
 _INTEGRITY = """keyed AS (SELECT event_key, count(*) AS copies FROM integrity_rows GROUP BY event_key),

@@ -46,12 +46,13 @@ def _(spark, sf):
 
 
 @query("stream_event_lines", needs=("raw_events",), sql="""
-SELECT type, count(*) AS lines FROM raw_events GROUP BY type""")
+SELECT type, app_name, window_title, process_id, url, title, timestamp, visit_time, duration_seconds, visit_duration,
+  CAST(id AS VARCHAR) AS id, NULL::VARCHAR AS user_id, false AS malformed FROM raw_events""")
 def _(spark, sf):
     src, out = scratch_dir(spark, "lines"), scratch_dir(spark, "feed")
     lines.event_lines(bind(spark, sf, "raw_events")).write.text(src)
     windows.run_to_table(lines.stream_event_lines(spark, src), out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("lines"))
+    return spark.read.parquet(out).drop("raw_line")
 
 
 _LINE_REASONS = """line_reasons AS (SELECT CASE WHEN id % 50 = 0 THEN 'malformed_json'
@@ -129,11 +130,19 @@ def _(spark, sf):
 
 
 @query("daily_summary_stream", needs=UE, sql="""
-SELECT CAST(timestamp AS DATE) AS date, type, count(*) AS event_count FROM usage_events GROUP BY 1, 2""")
+SELECT CAST(timestamp AS DATE) AS date, type, count(*) AS event_count, count(DISTINCT app_name) AS exact_apps, count(DISTINCT url) AS exact_urls,
+  true AS apps_near, true AS urls_near FROM usage_events GROUP BY 1, 2""")
 def _(spark, sf):
     src, out = scratch_dir(spark, "events"), scratch_dir(spark, "summary")
     events = bind(spark, sf, "usage_events")
     _closing(events).write.parquet(src)
     stream = windows.daily_summary_stream(_event_stream(spark, src, events.schema), "1 hour")
     windows.run_to_table(stream, out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).select("date", "type", "event_count")  # its distinct counts are approximate
+    exact = events.groupBy(F.col("timestamp").cast("date").alias("date"), "type").agg(
+        F.count_distinct("app_name").alias("exact_apps"), F.count_distinct("url").alias("exact_urls"))
+
+    def near(name):  # within four standard errors of the estimate, which is made for an error of 0.05
+        return (F.abs(F.col(f"unique_{name}") - F.col(f"exact_{name}")) <= 0.2 * F.col(f"exact_{name}")).alias(f"{name}_near")
+
+    return spark.read.parquet(out).join(exact, ["date", "type"]).select(
+        "date", "type", "event_count", "exact_apps", "exact_urls", near("apps"), near("urls"))

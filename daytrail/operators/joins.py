@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrail.functions.timeparts import chromium_ts, epoch_us, firefox_ts, timestamp_lit
@@ -128,8 +128,10 @@ def reconcile(a: DataFrame, b: DataFrame, key: str = "event_key") -> DataFrame:
 
 
 def missing_rows(have: DataFrame, other: DataFrame, key: str = "event_key") -> DataFrame:
-    """Rows of `other` to append to `have` so that it has every key."""
-    return other.dropDuplicates([key]).join(have.select(key).distinct(), key, "left_anti")
+    """Rows of `other` to append to `have` so that it has every key; of a key's rows the first by its columns."""
+    order = [F.col(c) for c in other.columns if c != key] or [F.lit(0)]
+    once = other.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
+    return once.join(have.select(key).distinct(), key, "left_anti")
 
 
 def recent_urls(urls: DataFrame, since: str, n: int = 100) -> DataFrame:
