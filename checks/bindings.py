@@ -230,6 +230,7 @@ def dated_path(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "dated")
     tables.write_facts(facts(spark, sf_dir), f"{path}/facts")
     tables.write_log(unified.normalize_event(bind(spark, sf_dir, "payload_rows")), f"{path}/log")
+    bind(spark, sf_dir, "rules").write.parquet(f"{path}/rules")
     return path
 
 
@@ -238,6 +239,11 @@ def dated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return tables.read_facts(spark, f"{dated_path(spark, sf_dir)}/facts")
 
 
+def dated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activity rules, which are derived from all events, as they were stored with the facts."""
+    return spark.read.parquet(f"{dated_path(spark, sf_dir)}/rules")
+
+
 def dated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_log(spark, f"{dated_path(spark, sf_dir)}/log")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import duck
-from checks.bindings import AS_OF, DAY, WEEK, bind, dated, facts, given
+from checks.bindings import AS_OF, DAY, WEEK, bind, dated, dated_rules, given
 from checks.clean import loaded_table
 from checks.registry import query
 from daytrail.operators import filters, lifecycle, unified
@@ -230,13 +230,13 @@ score AS (SELECT
 
 @query("classify_activity", needs=FACTS, ctes=_NAMED, sql="SELECT kind, name, total_seconds, activity FROM classed")
 def _(spark, sf):
-    return daily.classify_activity(daily.activity_time(dated(spark, sf), DAY), bind(spark, sf, "rules"))
+    return daily.classify_activity(daily.activity_time(dated(spark, sf), DAY), dated_rules(spark, sf))
 
 
 @query("productivity_score", needs=FACTS, ctes=f"{_NAMED}, {_SEARCHES}", sql="""
 SELECT *, coalesce(100.0::DOUBLE * productive_seconds / nullif(total_seconds, 0), 0) AS score, (SELECT count(*) FROM searches) AS searches FROM score""")
 def _(spark, sf):
-    return daily.productivity_score(dated(spark, sf), DAY, bind(spark, sf, "rules"))
+    return daily.productivity_score(dated(spark, sf), DAY, dated_rules(spark, sf))
 
 
 @query("productivity_insights", needs=FACTS, ctes=_NAMED, sql="""
@@ -245,7 +245,7 @@ UNION ALL (SELECT 'top_site', name, CAST(total_seconds AS DOUBLE) FROM named WHE
 UNION ALL SELECT 'distraction_share', NULL, coalesce(100.0::DOUBLE * unproductive_seconds / nullif(total_seconds, 0), 0) FROM score
 UNION ALL SELECT 'mean_session_seconds', NULL, coalesce(CAST(sum(duration_seconds) AS DOUBLE) / nullif(count(*), 0), 0) FROM day_apps""")
 def _(spark, sf):
-    return daily.productivity_insights(dated(spark, sf), DAY, bind(spark, sf, "rules"))
+    return daily.productivity_insights(dated(spark, sf), DAY, dated_rules(spark, sf))
 
 
 _IN_WEEK = "CAST(started_at AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'"
@@ -292,7 +292,7 @@ UNION ALL SELECT 'productivity_score', NULL,
   100.0::DOUBLE * CAST(sum(total_seconds) FILTER (activity = 'productive') AS BIGINT) / CAST(sum(total_seconds) AS BIGINT) FROM week_classed""")
 def _(spark, sf):
     one_track = spark.createDataFrame([("media", "purchase - artist 1", "unproductive")], "kind STRING, name STRING, activity STRING")
-    return daily.weekly_report(dated(spark, sf), WEEK, bind(spark, sf, "rules").unionByName(one_track))
+    return daily.weekly_report(dated(spark, sf), WEEK, dated_rules(spark, sf).unionByName(one_track))
 
 
 @query("weekly_update_day", needs=UE, sql="""
