@@ -6,6 +6,7 @@ watermark reaches no sink of the watermarked forms; a query's progress counts su
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -14,6 +15,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from daytrail.operators.sequence import SIGNATURE, WINDOW
+from daytrail.session import SETTINGS
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_starting = threading.Lock()
 
 
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -51,9 +56,21 @@ def daily_summary_stream(df: DataFrame, delay: str, ts: str = "timestamp") -> Da
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what there is and append it to a Parquet folder."""
-    return df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option(
-        "path", path).trigger(availableNow=True).start()
+    """Run a stream over what there is and append it to a Parquet folder.
+
+    A query copies its session's settings when it starts. So its state is outside of the heap, which `changed_only_stream` needs,
+    on any session, whose own setting is as before afterwards. A checkpoint goes on with the store it was begun with.
+    """
+    writer = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option(
+        "path", path).trigger(availableNow=True)
+    conf = df.sparkSession.conf
+    with _starting:
+        before = conf.get(_PROVIDER, None)
+        conf.set(_PROVIDER, SETTINGS[_PROVIDER])
+        try:
+            return writer.start()
+        finally:
+            conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
 
 
 class _LastRow(StatefulProcessor):
@@ -103,6 +120,7 @@ def changed_only_stream(df: DataFrame, delay: str, chunk: str = "10 minutes", sa
     first and last row go to the key's state, so that a busy key sends one row a chunk to its task. Rows within chunks are spread.
 
     A row later than the watermark, or without a time, reaches no sink. Keys that never come again keep their last row.
+    The state store must be RocksDB's, which `run_to_table` sees to; other sinks need a session with the settings of `build_session`.
     """
     columns, keys = df.columns, list(keys)
     fields = {f.name: f for f in df.schema.fields}

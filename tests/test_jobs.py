@@ -193,3 +193,20 @@ def test_a_busy_key_sends_few_rows_to_its_state(spark, tmp_path):
     run_changes(spark, tmp_path, chunk="100 minutes")
     got = sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r.id for r in changed_only(minutes(spark, rows[:-1])).collect())
+
+
+def test_changes_run_on_a_session_with_sparks_own_store(spark, tmp_path):
+    """The store that keyed state needs is set for the query only, and a restart goes on with it."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    heap = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    one, two = [(i, 1, i, "ab"[i // 5 % 2]) for i in range(40)], [(50 + i, 1, 400 + i, "b") for i in range(5)]
+    spark.conf.set(name, heap)
+    try:
+        for part in (one, two + [(99, 2, 9000, "end")]):
+            minutes(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            run_changes(spark, tmp_path)
+            assert spark.conf.get(name) == heap
+    finally:
+        spark.conf.set(name, before)
+    got = sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(r.id for r in changed_only(minutes(spark, one + two)).collect())
