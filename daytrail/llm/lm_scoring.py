@@ -7,8 +7,9 @@ the mean over its tokens of background loss minus target loss, in bits: the high
 
 Texts are cut into slices of bounded bytes, each behind the bytes its first n-grams look back on, and neighbouring slices are
 dealt into blocks of bounded bytes. Counting: each task counts its slices' n-grams, and the counts are summed by n-gram.
-Scoring: a block's distinct n-grams meet the models by a join, and go, two losses an n-gram, to the block's slices, whose
-sums are added by document in their order. So neither a model nor a long text's losses are ever held in one place.
+Scoring: contexts are dealt into buckets, about one for every `BUCKET_BYTES` of text. A block asks each bucket for its distinct n-grams
+there, packed in one row, and gets their counts and their contexts' ones back in the same way; the losses are made where the block's slices are,
+whose sums are added by document in their order. So neither a model nor a long text's losses are ever held in one place.
 
 Rules: a null or empty text has no tokens and the score null. Labels with a null id or value count for nothing; an id with any
 good and non-toxic label is in the target. Every row is scored by itself. Without target documents all target losses are 8 bits.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ from daytrail.llm.common import addressed, rereadable, stored
 SLICE_BYTES = 2_000_000
 BLOCK_BYTES = 8_000_000
 ROW_BYTES = 64  # what a slice costs besides its text
+BUCKET_BYTES = 4_000_000
+TURNS = 2
+PRIME = 2147483629  # contexts are dealt by their rest by it
+COUNTS = ["target", "all_", "target_context", "all_context"]
 
 
 @dataclass(frozen=True)
@@ -45,9 +51,17 @@ class Model:
 def pieces(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
     """(doc_id, file, row, slice, good, lead, bytes, block): the texts' slices; the first `lead` bytes belong to the slice before."""
     good = labels.filter("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select(F.col("doc_id").alias("__good")).distinct()
-    rows = addressed(rereadable(docs), F.col("doc_id"), F.col("text"))
-    rows = rows.join(good, rows["doc_id"] == F.col("__good"), "left").select(
-        rows["doc_id"].cast("long").alias("doc_id"), "__file", "__row", F.col("__good").isNotNull().alias("good"), rows["text"].cast("string").alias("text"))
+    docs = rereadable(docs)
+    # Which rows are in the target goes to the texts as bits, 4 KB for 32768 rows of a file, so that no text is shuffled for it.
+    place, spot = F.bitmap_bucket_number(F.col("__row") + 1), F.bitmap_bit_position(F.col("__row") + 1)
+    ids = addressed(docs, F.col("doc_id"))
+    bits = ids.join(good, ids["doc_id"] == F.col("__good"), "left_semi").groupBy("__file", place.alias("__range")).agg(
+        F.bitmap_construct_agg(spot).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (spot / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    rows = addressed(docs, F.col("doc_id"), F.col("text")).withColumn("__range", place)
+    rows = rows.join(F.broadcast(stored(bits, "target-rows")), ["__file", "__range"], "left").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "__file", "__row",
+        F.coalesce(F.bit_get(byte, (spot % 8).cast("int")) == 1, F.lit(False)).alias("good"), F.col("text").cast("string").alias("text"))
     slice_bytes, block_bytes = SLICE_BYTES, BLOCK_BYTES
     schema = pa.schema([("doc_id", pa.int64()), ("__file", pa.int64()), ("__row", pa.int64()), ("slice", pa.int64()), ("good", pa.bool_()),
                         ("lead", pa.int64()), ("bytes", pa.binary()), ("block", pa.int64())])
@@ -74,7 +88,7 @@ def pieces(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return stored(rows.mapInArrow(cut, "doc_id LONG, __file LONG, __row LONG, slice LONG, good BOOLEAN, lead LONG, bytes BINARY, block LONG"), "pieces")
+    return stored(rows.mapInArrow(cut, "doc_id LONG, __file LONG, __row LONG, slice LONG, good BOOLEAN, lead LONG, bytes BINARY, block LONG"), "pieces", "zstd")
 
 
 def grams(parts: pa.Array, leads: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,21 +98,19 @@ def grams(parts: pa.Array, leads: np.ndarray, order: int) -> Iterator[tuple[np.n
     at = 0
     while at < len(parts):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
-        own = sizes[at:to]
-        data = np.frombuffer(b"".join(parts.slice(at, to - at).to_pylist()), np.uint8)
-        place = np.arange(len(data)) - np.repeat(np.cumsum(own) - own, own)
-        number = data.astype(np.uint64)
+        own, lead = sizes[at:to], leads[at:to]
+        zeros = b"\0" * (order - 1)  # before each part, so that no n-gram reaches into the one before it
+        data = np.frombuffer(zeros + zeros.join(parts.slice(at, to - at).to_pylist()), np.uint8).astype(np.uint64)
+        number = data.copy()
         for k in range(1, order):
-            before = np.zeros(len(data), np.uint64)
-            before[k:] = data[:-k] if k < len(data) else 0
-            before[place < k] = 0
-            number |= before << np.uint64(8 * k)
-        yield number[place >= np.repeat(leads[at:to], own)].view(np.int64), own - leads[at:to]
+            number[k:] |= data[:-k] << np.uint64(8 * k)
+        runs = np.stack([order - 1 + lead, own - lead], axis=1).ravel()
+        yield number[np.repeat(np.tile([False, True], to - at), runs)].view(np.int64), own - lead
         at = to
 
 
-def losses(rows: DataFrame, model: Model) -> DataFrame:
-    """(gram, target_loss, background_loss) in bits, of every n-gram of the slices."""
+def counted(rows: DataFrame, model: Model) -> DataFrame:
+    """(gram, target, all_): how often each n-gram of the slices is in target documents and in all."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, at = batch["good"].to_numpy(zero_copy_only=False), 0
@@ -111,22 +123,43 @@ def losses(rows: DataFrame, model: Model) -> DataFrame:
                 both[np.searchsorted(found, wanted)] = m
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(both), pa.array(n)], ["gram", "target", "all_"])
 
-    counts = rows.select("good", "lead", "bytes").mapInArrow(count, "gram LONG, target LONG, all_ LONG").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("all_").alias("all_"))
-    counts = stored(counts.withColumn("context", F.shiftrightunsigned("gram", 8)), "grams")
-    contexts = counts.groupBy("context").agg(F.sum("target").alias("target_context"), F.sum("all_").alias("all_context"))
+    counts = rows.select("good", "lead", "bytes").mapInArrow(count, "gram LONG, target LONG, all_ LONG")
+    return stored(counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("all_").alias("all_")), "grams")
 
-    def loss(n: str, total: str) -> Column:
-        return -F.log2((F.col(n) + model.strength / 256) / (F.col(total) + model.strength))
 
-    return counts.join(contexts, "context").select("gram", loss("target", "target_context").alias("target_loss"),
-                                                   loss("all_", "all_context").alias("background_loss"))
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, first all their lowest bytes, then the next ones: small numbers take little more than a byte."""
+    return pa.Codec("zstd").compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
 
 
-def scores(docs: DataFrame, labels: DataFrame, model: Model = Model()) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score), losses in bits a token."""
-    rows = pieces(docs, labels, model)
-    table = stored(losses(rows, model), "gram-losses")
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
+
+
+class Places:
+    """Places of n-grams in the ascending `ids`: a slot by a hash holds the most frequent of those that fall there, the others are searched for."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.shift = ids, np.uint64(63 - len(ids).bit_length())
+        order = np.argsort(counts, kind="stable")
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self.slot(ids[order])] = order  # of equal slots the last one stays
+
+    def slot(self, number: np.ndarray) -> np.ndarray:
+        return (number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
 
+    def of(self, number: np.ndarray) -> np.ndarray:
+        if not len(number):
+            return np.zeros(0, np.int32)
+        at = self.slots[self.slot(number)]
+        other = np.flatnonzero(self.ids[at] != number)
+        at[other] = np.searchsorted(self.ids, number[other])
+        return at
+
+
+def asked(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """(bucket, block, n, grams): the distinct n-grams of each block in each bucket, as packed differences; a few rows if a block comes in parts."""
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = batch["block"].to_numpy()
@@ -134,16 +167,57 @@ def scores(docs: DataFrame, labels: DataFrame, model: Model = Model()) -> DataFr
                 own = pa.array(blocks == b)
                 found = [np.unique(number) for number, _ in grams(batch["bytes"].filter(own), batch["lead"].filter(own).to_numpy(), model.order)]
                 each = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), b)), pa.array(each)], ["block", "gram"])
+                of = (each.view(np.uint64) >> np.uint64(8)) % np.uint64(PRIME) % np.uint64(buckets)
+                order = np.argsort(of, kind="stable")
+                parts = [each[x] for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(x)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.unique(of).astype(np.int64)), pa.array(np.full(len(parts), b)), pa.array(list(map(len, parts)), pa.int64()),
+                    pa.array([packed(np.diff(x, prepend=np.int64(0))) for x in parts], pa.binary())], ["bucket", "block", "n", "grams"])
+
+    return rows.select("block", "lead", "bytes").mapInArrow(distinct, "bucket LONG, block LONG, n LONG, grams BINARY")
+
+
+def answered(questions: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """`questions` with what the models say of their n-grams: counts and those of their contexts, which a bucket has whole."""
+    def answer(known: pa.Table, parts: pa.Table) -> pa.Table:
+        ids = known["gram"].to_numpy()
+        order = np.argsort(ids)
+        ids, own = ids[order], [known[c].to_numpy()[order] for c in ("target", "all_")]
+        first = np.flatnonzero(np.diff(ids >> 8, prepend=(ids[:1] >> 8) - 1))
+        context = np.repeat(np.arange(len(first)), np.diff(first, append=len(ids)))
+        own += [np.add.reduceat(c, first)[context] if len(first) else c for c in own]
+        found: list[list[bytes]] = [[], [], [], []]
+        for n, data in zip(parts["n"].to_pylist(), parts["grams"].to_pylist(), strict=True):
+            at = np.searchsorted(ids, np.cumsum(unpacked(data, n)))
+            for k, values in enumerate(own):
+                found[k].append(packed(values[at]))
+        return pa.table([parts["block"], parts["n"], parts["grams"], *[pa.array(x, pa.binary()) for x in found]], ["block", "n", "grams", *COUNTS])
+
+    known = counts.withColumn("bucket", F.shiftrightunsigned("gram", 8) % PRIME % buckets)
+    return known.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(
+        answer, "block LONG, n LONG, grams BINARY, " + ", ".join(f"{c} BINARY" for c in COUNTS))
+
+
+def scores(docs: DataFrame, labels: DataFrame, model: Model = Model()) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score), losses in bits a token."""
+    rows = pieces(docs, labels, model)
+    counts = counted(rows, model)
+    buckets = 1 + (counts.agg(F.sum("all_")).first()[0] or 0) // BUCKET_BYTES
 
     def score(parts: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known["gram"].to_numpy())
-        ids, lost = known["gram"].to_numpy()[order], [known[c].to_numpy()[order] for c in ("target_loss", "background_loss")]
+        n = known["n"].to_pylist()
+        none = np.zeros(0, np.int64)
+        ids = np.concatenate([none, *(np.cumsum(unpacked(x, k)) for x, k in zip(known["grams"].to_pylist(), n, strict=True))])
+        order = np.argsort(ids)
+        own_target, own_all, of_target, of_all = (np.concatenate([none, *map(unpacked, known[c].to_pylist(), n)])[order] for c in COUNTS)
+        ids, lost = ids[order], [-np.log2((c + model.strength / 256) / (total + model.strength))
+                                 for c, total in ((own_target, of_target), (own_all, of_all))]
+        places = Places(ids, own_all)
         sums: list[list[np.ndarray]] = [[], [], []]
         parts = parts.combine_chunks()
         for chunk in parts.to_batches():
             for number, own in grams(chunk["bytes"], chunk["lead"].to_numpy(), model.order):
-                at, ends = np.searchsorted(ids, number), np.cumsum(own)
+                at, ends = places.of(number), np.cumsum(own)
                 sums[0].append(own)
                 for k, values in enumerate(lost):
                     total = np.concatenate(([0.0], np.cumsum(values[at]) if len(at) else []))
@@ -153,9 +227,14 @@ def scores(docs: DataFrame, labels: DataFrame, model: Model = Model()) -> DataFr
                          pa.array(background)], ["doc_id", "__file", "__row", "slice", "n", "target", "background"])
 
     # A block may come in several batches; its n-grams then come several times, of which the first found serves.
-    needed = rows.select("block", "lead", "bytes").mapInArrow(distinct, "block LONG, gram LONG").join(table, "gram")
-    sums = rows.drop("good").groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(
-        score, "doc_id LONG, __file LONG, __row LONG, slice LONG, n LONG, target DOUBLE, background DOUBLE")
+    # The blocks take turns, so that only a part of the questions, answers and texts lies in shuffle files at a time.
+    done = []
+    for turn in range(TURNS):
+        some = rows.filter(F.pmod("block", F.lit(TURNS)) == turn)
+        needed = answered(asked(some, model, buckets), counts, buckets)
+        done.append(stored(some.drop("good").groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(
+            score, "doc_id LONG, __file LONG, __row LONG, slice LONG, n LONG, target DOUBLE, background DOUBLE"), "sums"))
+    sums = reduce(DataFrame.unionByName, done)
     slices = F.sort_array(F.collect_list(F.struct("slice", "n", "target", "background")))
     whole = sums.groupBy("__file", "__row").agg(F.first("doc_id").alias("doc_id"), slices.alias("s"))
 
