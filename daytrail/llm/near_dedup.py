@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.common import addressed, rereadable, stored
+from daytrail.llm.common import addressed, rereadable, shuffles_removed, stored
 from daytrail.llm.shingles import mixed_bits, shingle_sets
 
 
@@ -157,13 +157,16 @@ def components(links: DataFrame) -> DataFrame:
                 least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def settled(edges: DataFrame) -> bool:
+        """Whether all edges (a, b), b < a, are stars: a node has one edge down, or edges from above only. One shuffle tells."""
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        with shuffles_removed(edges.sparkSession):
+            return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").isEmpty()
 
-    edges = stored(links.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = None
-    while before != (now := state(edges)):
-        before = now
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = stored(down.filter("a <> b").distinct(), "edges")
+    while not settled(edges):
         edges = stored(star(star(edges, True), False), "edges")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
