@@ -31,9 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.common import addressed, rereadable, shuffles_removed, stored
+from daytrail.llm.common import addressed, released, rereadable, shuffles_removed, stored
 from daytrail.llm.shingles import mixed_bits, shingle_sets
 
+#: Shingles and coordinates a worker holds at once, each in several arrays.
+CHUNK_COST = 250_000
+
 
 @dataclass(frozen=True)
 class Near:
@@ -97,7 +100,7 @@ def sketched(docs: DataFrame, near: Near = Near()) -> DataFrame:
             for s in shingle_sets(batch["text"], near.width):
                 held.append(s)
                 cost += len(s) + size
-                if cost > 1_000_000:
+                if cost > CHUNK_COST:
                     yield rows(batch.slice(at, len(held)), held)
                     at, held, cost = at + len(held), [], 0
             if held:
@@ -117,7 +120,7 @@ def sketched(docs: DataFrame, near: Near = Near()) -> DataFrame:
             ["doc_id", "__file", "__row", "n_shingles", "node", "keys", "sketch"])
 
     own = addressed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id LONG, __file LONG, __row LONG, n_shingles LONG, node BINARY, keys ARRAY<LONG>, sketch BINARY")
+    return own.mapInArrow(released(run), "doc_id LONG, __file LONG, __row LONG, n_shingles LONG, node BINARY, keys ARRAY<LONG>, sketch BINARY")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, near: Near = Near()) -> DataFrame:
@@ -128,7 +131,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, near: Near = Near()) -> DataFr
             for s in shingle_sets(batch["text"], near.width):
                 held.append(s.view(np.int64))
                 cost += len(s)
-                if cost > 1_000_000:
+                if cost > CHUNK_COST:
                     yield rows(batch["node"].slice(at, len(held)), held)
                     at, held, cost = at + len(held), [], 0
             if held:
@@ -138,7 +141,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, near: Near = Near()) -> DataFr
         return pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = addressed(docs, F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, ["__file", "__row"]).select("text", "node").mapInArrow(run, "node BINARY, shingles ARRAY<LONG>")
+    return texts.join(wanted, ["__file", "__row"]).select("text", "node").mapInArrow(released(run), "node BINARY, shingles ARRAY<LONG>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 
     of = nodes.select("node", "sketch")
     both = pairs.join(of.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(of.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a BINARY, b BINARY")
+    return both.select("a", "b", "x", "y").mapInArrow(released(compare), "a BINARY, b BINARY")
 
 
 def forest(table: pa.Table, percent: int, least_equal: int) -> pa.Table:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytrail.llm.common import stored, with_start
+from daytrail.llm.common import released, stored, with_start
 from daytrail.llm.tokens import encoder
 
 #: A filling and how many sequences have it: ((lengths, largest first), count).
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)], names)
 
     kinds = "doc_id LONG, piece INT, start LONG, length LONG, ids_crc32 LONG" + (", ids ARRAY<LONG>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(cut), kinds)
 
 
 def waste_bound(counts: dict[int, int], capacity: int) -> int:
@@ -266,7 +266,7 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     order = ["doc_id", "piece", "start", "ids_crc32"]
     ranked = with_start(rows, "length", "__bucket", order, "__one", "__rank")
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(released(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -22,8 +22,9 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-SLICE_BYTES = 8_000_000
-CACHED_CHUNKS = 450_000
+# They bound what a worker holds while it encodes (a slice) and between its tasks (the chunks).
+SLICE_BYTES = 2_000_000
+CACHED_CHUNKS = 250_000
 # White space as the byte-level pattern's \s has it.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
