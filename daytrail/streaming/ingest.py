@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +13,7 @@ from daytrail.functions.timeparts import timestamp_lit
 from daytrail.operators.delivery import STATUSES
 from daytrail.operators.validation import (
     apply_load_defaults, normalize_web, redact_events, split_valid, validate_events)
+from daytrail.schemas import EVENT_COLUMNS, OWNER_COLUMNS
 from daytrail.sources.lines import stream_event_lines
 from daytrail.sources.tables import upsert_events, write_rejects
 
@@ -30,16 +32,27 @@ def clean_lines(lines: DataFrame, ingest_time: Column, default_type: str | None
     return apply_load_defaults(redact_events(valid), ingest_time), rejects
 
 
+def needed_fields(checked: DataFrame) -> DataFrame:
+    """Of checked lines what is read later: the line of a reject, the event's fields of an accepted one."""
+    if "raw_line" not in checked.columns:  # a reject then consists of all its fields
+        return checked
+    accepted = F.size("reasons") == 0
+    fields = [c for c in [*OWNER_COLUMNS, *EVENT_COLUMNS] if c in checked.columns]
+    return checked.select(F.when(~accepted, F.col("raw_line")).alias("raw_line"),
+                          *[F.when(accepted, F.col(c)).alias(c) for c in fields], "reasons")
+
+
 def ingest_batch(lines: DataFrame, events_path: str, batch_rejects_path: str, ingested_at: dt.datetime | str,
                  source: str = "stream", default_type: str | None = None) -> None:
     """Load one batch of parsed lines. The checked batch is read for events and for rejects, so it
-    is kept while that lasts.
+    is kept while that lasts, on disk: a batch may be a whole folder, and what an executor keeps in
+    memory of it would leave none for sorting and writing.
 
     Events are loaded by key and a batch's rejects replace those of its earlier try, so a batch
     that runs again after a failure repeats nothing.
     """
     moment = timestamp_lit(ingested_at)
-    checked = check_lines(lines, default_type).persist()
+    checked = needed_fields(check_lines(lines, default_type)).persist(StorageLevel.DISK_ONLY)
     try:
         valid, rejects = split_valid(checked)
         events = apply_load_defaults(redact_events(valid), moment)
